@@ -145,7 +145,7 @@ def transactions_over_time(w: World, period: str) -> str:
 def _accounts(w: World, condition: str) -> str:
     """Accounts of both ledgers; ``condition`` is on block_timestamp."""
     return f""", seen AS (
-          SELECT 'n' AS side, block_timestamp AS at, unnest(actors) AS account
+          SELECT 'n' AS side, block_timestamp AS moment, unnest(actors) AS account
           FROM native_actor WHERE {condition}
           UNION ALL
           SELECT 'e', block_timestamp, from_address FROM evm_tx WHERE {condition})"""
@@ -156,7 +156,7 @@ def new_accounts_over_time(w: World, period: str) -> str:
         "native_actor evm_tx",
         _accounts(w, w.closed(period))
         + f""", debuts AS (
-          SELECT account, min(date_trunc('{GRAIN[period]}', at)) AS day FROM seen GROUP BY account
+          SELECT account, min(date_trunc('{GRAIN[period]}', moment)) AS day FROM seen GROUP BY account
         ), counted AS (SELECT day, count(account) AS n FROM debuts GROUP BY day)
         SELECT day, n AS daily_new_accounts,
                CAST(sum(n) OVER (ORDER BY day) AS BIGINT) AS total_new_accounts,
@@ -171,7 +171,7 @@ def active_users_by_ledger(w: World, period: str, week_cut: bool = True) -> str:
         "native_actor evm_tx",
         _accounts(w, w.since(period))
         + f""", sides AS (
-          SELECT date_trunc('{GRAIN[period]}', at) AS day, side, count(DISTINCT account) AS n
+          SELECT date_trunc('{GRAIN[period]}', moment) AS day, side, count(DISTINCT account) AS n
           FROM seen GROUP BY day, side
         ), sums AS (SELECT day, CAST(sum(n) AS BIGINT) AS n FROM sides GROUP BY day),
         listed AS (
@@ -207,9 +207,9 @@ def first_ever_accounts_kpi(w: World, period: str) -> str:
         _accounts(w, "TRUE")
         + f""", fresh AS (
           SELECT DISTINCT side, account FROM seen
-          WHERE {w.since(period, 'at')} AND at <= {w.now} AND account IS NOT NULL
+          WHERE {w.since(period, 'moment')} AND moment <= {w.now} AND account IS NOT NULL
           EXCEPT
-          SELECT side, account FROM seen WHERE at < {w.start(period)})
+          SELECT side, account FROM seen WHERE moment < {w.start(period)})
         SELECT count(*) AS total_new_accounts_last_24h FROM fresh""",
     )
 
@@ -252,11 +252,11 @@ def native_deployers_by_actor_kpi(w: World, period: str) -> str:
 def _deployments(condition: str) -> str:
     """Deployments with raw times; ``condition`` is on t.block_timestamp."""
     return f""", marked AS (
-          SELECT t.tx_hash, t.block_timestamp AS at, from_address AS creator,
+          SELECT t.tx_hash, t.block_timestamp AS moment, from_address AS creator,
                  contract_address AS contract, {condition} AS inside
           FROM evm_tx t, evm_log l WHERE t.tx_hash = l.tx_hash AND {MARKER}
         ), deployed AS (
-          SELECT at, creator, contract FROM marked WHERE inside
+          SELECT moment, creator, contract FROM marked WHERE inside
           UNION
           SELECT block_timestamp, from_address, tx_hash FROM evm_tx t
           WHERE {CTOR} AND {condition}
@@ -279,13 +279,13 @@ def contract_deployments_split(w: World, period: str) -> str:
     return w.sql(
         "native_event evm_tx evm_log",
         _deployments(w.closed(period, "t.block_timestamp"))
-        + f""", debuts AS (SELECT event_contract AS contract, min(block_timestamp) AS at
+        + f""", debuts AS (SELECT event_contract AS contract, min(block_timestamp) AS moment
                            FROM native_event WHERE {w.closed(period)} GROUP BY contract),
         parts AS (
-          SELECT date_trunc('{g}', at) AS day, count(DISTINCT contract) AS n, 0 AS c, 0 AS o
+          SELECT date_trunc('{g}', moment) AS day, count(DISTINCT contract) AS n, 0 AS c, 0 AS o
           FROM debuts GROUP BY day
           UNION ALL
-          SELECT date_trunc('{g}', at), 0, count(DISTINCT contract) FILTER ({COA}),
+          SELECT date_trunc('{g}', moment), 0, count(DISTINCT contract) FILTER ({COA}),
                  count(DISTINCT contract) FILTER (NOT {COA})
           FROM deployed GROUP BY 1
         ), days AS (
@@ -313,7 +313,7 @@ def active_contracts_by_ledger(w: World, period: str) -> str:
                  count(DISTINCT event_contract) AS n
           FROM native_event WHERE {w.since(period)} GROUP BY day
           UNION ALL
-          SELECT date_trunc('{g}', at), '{C.EVM_LABEL}', count(DISTINCT contract)
+          SELECT date_trunc('{g}', moment), '{C.EVM_LABEL}', count(DISTINCT contract)
           FROM deployed GROUP BY 1
         ), summed AS (
           SELECT day, type, n AS new_contracts,
@@ -360,7 +360,7 @@ def deployers_over_time(w: World, period: str) -> str:
           WHERE e.tx_id = t.tx_id AND event_type = '{C.CONTRACT_ADDED_EVENT}'
             AND {w.since(period, 'e.block_timestamp')} GROUP BY day
           UNION ALL
-          SELECT date_trunc('{g}', at), 0, count(DISTINCT creator) FROM deployed GROUP BY 1"""
+          SELECT date_trunc('{g}', moment), 0, count(DISTINCT creator) FROM deployed GROUP BY 1"""
     return w.sql(
         "native_tx native_event evm_tx evm_log",
         _deployments(w.since(period, "t.block_timestamp"))
@@ -381,7 +381,7 @@ def _weekly_evm_contracts(w: World, who: str) -> str:
     return w.sql(
         "evm_tx evm_log",
         _deployments(w.since("last_year", "t.block_timestamp"))
-        + f""", pairs AS (SELECT DISTINCT date_trunc('week', at) AS date, contract, creator
+        + f""", pairs AS (SELECT DISTINCT date_trunc('week', moment) AS date, contract, creator
                           FROM deployed WHERE {who})
         SELECT date, count(contract) AS new_contracts FROM pairs GROUP BY date""",
     )
@@ -404,7 +404,7 @@ def contract_debuts_by_source(w: World, period: str, debut_range: tuple[date, da
           SELECT event_contract AS contract, min(date_trunc('week', block_timestamp)) AS date,
                  '{C.NATIVE_LABEL}' AS source FROM native_event GROUP BY contract
           UNION ALL
-          SELECT contract, min(date_trunc('week', at)),
+          SELECT contract, min(date_trunc('week', moment)),
                  CASE WHEN {COA} THEN '{C.COA_SOURCE_LABEL}'
                       ELSE '{C.NON_COA_SOURCE_LABEL}' END
           FROM deployed GROUP BY contract, creator
@@ -476,15 +476,15 @@ def _trend(w: World, view: str, body: str, rank: str, period: str, min_users: in
           ORDER BY best DESC, contract_name NULLS LAST LIMIT {k}
         ), rows_of_best AS (
           SELECT *, row_number() OVER (PARTITION BY contract_name
-                      ORDER BY week, substr(md5(address), 1, 2), address) AS at
+                      ORDER BY week, substr(md5(address), 1, 2), address) AS seq
           FROM weekly, best WHERE contract_name = top_name
         ), numbered AS (
           SELECT *, lag(users) OVER o AS before, avg(users) OVER t AS mean_users,
                  avg(calls) OVER t AS mean_calls, CAST(sum(ratio) OVER t AS BIGINT) AS ratios,
                  count(*) OVER t AS terms
           FROM rows_of_best
-          WINDOW o AS (PARTITION BY contract_name ORDER BY at),
-                 t AS (PARTITION BY contract_name ORDER BY at {TRAILING}))
+          WINDOW o AS (PARTITION BY contract_name ORDER BY seq),
+                 t AS (PARTITION BY contract_name ORDER BY seq {TRAILING}))
         SELECT contract_name, week AS week_start, users AS weekly_users,
                before AS prev_week_users,
                {percent('(users - before)', 'before')} AS wow_users_change,
@@ -659,7 +659,7 @@ def supply_breakdown_over_time(w: World, period: str, days: int = 360) -> str:
                            WHERE date >= {w.now} - INTERVAL {days} DAYS AND date < {w.now})
         SELECT q.date, '{C.TOKEN}' AS token, round(total, 4) AS total_supply_actual,
                round(held, 2) AS staked_locked, round(other, 2) AS non_staked_locked,
-               round(total - (held + liquid + other), 1) AS unstaked_circulating,
+               round(total - (held + liquid + other), 2) AS unstaked_circulating,
                round(liquid, 2) AS liquid_supply,
                round(total - (total - (held + liquid + other)), 2) AS free_circulating_supply
         FROM quoted q JOIN locked l ON q.date = CAST(l.date AS TIMESTAMP)""",

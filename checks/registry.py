@@ -60,7 +60,7 @@ ROUND = {
         "total_supply_actual": 4,
         "staked_locked": 2,
         "non_staked_locked": 2,
-        "unstaked_circulating": 1,
+        "unstaked_circulating": 2,
         "liquid_supply": 2,
         "free_circulating_supply": 2,
     },

@@ -471,9 +471,10 @@ def _trend(w: World, view: str, body: str, rank: str, period: str, min_users: in
         f""", weekly AS (
           SELECT *, {cents('calls', 'users')} AS ratio FROM ({body}) WHERE users >= {min_users}
         ), best AS (
-          SELECT contract_name AS top_name, max({rank}) AS best FROM weekly
+          SELECT contract_name AS top_name FROM weekly
           WHERE {w.report(period, 'week')} GROUP BY contract_name
-          ORDER BY best DESC, contract_name NULLS LAST LIMIT {k}
+          ORDER BY max({rank}) DESC, max({'calls' if rank == 'users' else 'users'}) DESC,
+                   contract_name NULLS LAST LIMIT {k}
         ), rows_of_best AS (
           SELECT *, row_number() OVER (PARTITION BY contract_name
                       ORDER BY week, substr(md5(address), 1, 2), address) AS seq

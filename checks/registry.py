@@ -127,9 +127,10 @@ def _checks() -> dict[str, Check]:
         checks[f"{name}__true_period"] = Check(
             name, period="last_year", options={"compat_periods": False}
         )
-    checks["active_users_by_ledger__uncut"] = Check(
-        "active_users_by_ledger", period="all_time", options={"compat_week_cut": False}
-    )
+    for world, period in (("chain", "all_time"), ("clicks", "last_24h")):
+        checks[f"active_users_by_ledger__{period}_uncut"] = Check(
+            "active_users_by_ledger", world, period, {"compat_week_cut": False}
+        )
     return checks
 
 

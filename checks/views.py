@@ -17,6 +17,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom import constants as C
+from ledgerloom.session import configure
 from ledgerloom.sources import Ledger
 
 DRIVER_SCHEMAS = {
@@ -147,6 +148,11 @@ CLICK_VIEWS = {
                CASE WHEN event_type = 'click' OR user_id % 5 = 0
                     THEN LIST('{C.OWNERSHIP_TOPIC}') ELSE LIST('0xddf252ad') END AS topics
         FROM {{events}}""",
+    "evm_contract": """
+        SELECT DISTINCT '0xc' || CAST(user_id % 10 AS STRING) AS address,
+               CASE user_id % 10 WHEN 3 THEN NULL ELSE 'pool' || CAST(user_id % 2 AS STRING) END
+               AS name
+        FROM {events}""",
 }
 
 WORLDS = {
@@ -179,7 +185,7 @@ def _market_chart(quotes: DataFrame) -> DataFrame:
 
 def spark_ledger(spark: SparkSession, sf_dir: str, world: str = "chain", **options) -> Ledger:
     """The views over the Parquet files in ``sf_dir``, as a ledger."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    configure(spark)
     views, _, genesis = WORLDS[world]
 
     @cache

@@ -41,8 +41,9 @@ def _exact(value: Column) -> Column:
     return value.cast("decimal(19,0)")
 
 
-def _non_zero(value: Column) -> Column:
-    return F.nullif(_exact(value), F.lit(0).cast("decimal(19,0)"))
+def non_zero(value: Column) -> Column:
+    """``value``, or NULL where it is 0."""
+    return F.when(value != 0, value)
 
 
 def fixed_ratio(numerator: Column, denominator: Column) -> Column:
@@ -51,7 +52,7 @@ def fixed_ratio(numerator: Column, denominator: Column) -> Column:
     The metrics divide whole numbers and then round. Doing that in fixed point
     keeps half-way digits from depending on binary fractions.
     """
-    return F.round(_exact(numerator) / _non_zero(denominator), 6)
+    return F.round(_exact(numerator) / _exact(non_zero(denominator)), 6)
 
 
 def pct_change(current: Column, before: Column) -> Column:
@@ -61,7 +62,7 @@ def pct_change(current: Column, before: Column) -> Column:
 
 def per_user(interactions: Column, users: Column) -> Column:
     """Interactions per user, rounded to two decimals."""
-    return F.round(_exact(interactions) / _non_zero(users), 2).cast("decimal(20,2)")
+    return F.round(_exact(interactions) / _exact(non_zero(users)), 2).cast("decimal(20,2)")
 
 
 def is_contract_call() -> Column:

@@ -41,12 +41,12 @@ def with_positions(df: DataFrame, group: str, period: str, tie: str) -> DataFram
     offsets = (
         keyed.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*keys, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias(_BEFORE))
+        .withColumn(_BEFORE, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+        .select(_BEFORE, *(F.col(c).alias(f"_slice_{c}") for c in keys))
     )
-    return (
-        numbered.join(offsets, keys)
-        .withColumn(_POS, F.col(_AT) + F.col(_BEFORE))
-        .drop(_SLICE, _AT, _BEFORE)
+    same_slice = [F.col(c).eqNullSafe(F.col(f"_slice_{c}")) for c in keys]
+    return numbered.join(offsets, same_slice).select(
+        *df.columns, (F.col(_AT) + F.col(_BEFORE)).alias(_POS)
     )
 
 

@@ -27,11 +27,16 @@ _USERS, _INTERACTIONS = "unique_users", "total_interactions"
 
 
 def _usage(df: DataFrame, keys: list[Column], user: str, min_users: int) -> DataFrame:
-    """Distinct users and rows per key, for keys with enough users."""
+    """Distinct users and rows per key, for keys with enough users.
+
+    Enough interactions follow from enough users. Saying so makes every reader
+    of the aggregate need both measures, so that branches which read it several
+    times share one scan and one shuffle.
+    """
     return (
         df.groupBy(*keys)
         .agg(F.countDistinct(user).alias(_USERS), F.count(F.lit(1)).alias(_INTERACTIONS))
-        .filter(F.col(_USERS) >= min_users)
+        .filter((F.col(_USERS) >= min_users) & (F.col(_INTERACTIONS) >= min_users))
     )
 
 
@@ -172,19 +177,32 @@ def _week() -> Column:
     return Span(grain="week").bucket().alias("week_start")
 
 
-def _top_names(weekly: DataFrame, rank_by: str, since: date | None, k: int) -> DataFrame:
-    """Names with the best single week in the period; at most ``k`` rows.
+def _of_top_names(weekly: DataFrame, rank_by: str, since: date | None, k: int) -> DataFrame:
+    """All weeks of the ``k`` names with the best single week in the period.
 
-    Weeks before the period are masked instead of filtered, so this branch
-    shares the weekly aggregate with the rows it selects.
+    Weeks before the period are masked instead of filtered, so the ranking
+    shares the weekly aggregate with the rows it selects. Ties go to the better
+    other measure, then to the name. An unnamed contract can take a rank but
+    has no rows.
     """
-    value = F.col(rank_by)
-    if since is not None:
-        value = F.when(F.col("week_start") >= midnight(since), value)
-    best = weekly.groupBy("contract_name").agg(F.max(value).alias("best"))
-    return top_rows(best.filter(F.col("best").isNotNull()), "best", k, ["contract_name"]).select(
-        "contract_name"
+    tie_break = _INTERACTIONS if rank_by == _USERS else _USERS
+    in_period = F.lit(True) if since is None else F.col("week_start") >= midnight(since)
+    best = weekly.groupBy("contract_name").agg(
+        F.max(F.when(in_period, F.col(rank_by))).alias("best"),
+        F.max(F.when(in_period, F.col(tie_break))).alias("second"),
+    )
+    top = (
+        best.filter(F.col("best").isNotNull())
+        .orderBy(
+            F.col("best").desc(), F.col("second").desc(), F.col("contract_name").asc_nulls_last()
+        )
+        .limit(k)
+        .select(F.col("contract_name").alias("top_name"))
+        .filter(F.col("top_name").isNotNull())
     )
+    # At most k rows, so the broadcast side has a fixed size.
+    named = F.col("contract_name").eqNullSafe(F.col("top_name"))
+    return weekly.join(F.broadcast(top), named, "left_semi")
 
 
 def _means() -> dict[str, Column]:
@@ -220,10 +238,8 @@ def _native_trends(
     weekly = _native_usage(ledger, Span(), min_users, _week()).withColumn(
         "ratio", per_user(F.col(_INTERACTIONS), F.col(_USERS))
     )
-    top = _top_names(weekly, rank_by, since, k)
-    # At most k names, so the broadcast side has a fixed size. Within a name
-    # there is one row per week, so the windows stay small.
-    rows = weekly.join(F.broadcast(top), "contract_name", "left_semi")
+    rows = _of_top_names(weekly, rank_by, since, k)
+    # There is one row per name and week, so the windows stay small.
     by_name = ["contract_name"]
     rows = rows.withColumn("prev_week_users", previous(F.col(_USERS), "week_start", by_name))
     for name, value in _means().items():
@@ -244,8 +260,7 @@ def _evm_trends(
     weekly = _evm_usage(ledger, Span(), min_users, labels, _week()).withColumn(
         "ratio", per_user(F.col(_INTERACTIONS), F.col(_USERS))
     )
-    top = _top_names(weekly, rank_by, since, k)
-    rows = weekly.join(F.broadcast(top), "contract_name", "left_semi")
+    rows = _of_top_names(weekly, rank_by, since, k)
     # Many addresses can share a name, so neighbours are found by position.
     numbered = with_positions(rows, "contract_name", "week_start", "contract_address")
     trailing = trailing_by_position(

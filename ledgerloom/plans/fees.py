@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import constants as C
-from ledgerloom.functions.measures import running, trailing_mean
+from ledgerloom.functions.measures import non_zero, running, trailing_mean
 from ledgerloom.functions.periods import kpi_span, series_span, today, within
 from ledgerloom.operators.combining import stack
 from ledgerloom.sources.ledger import Ledger
@@ -38,7 +38,7 @@ def _fee_measures() -> tuple[Column, Column]:
     """
     fees = F.sum(F.col("amount") * F.col("copies"))
     rows = F.sum(F.col("payments") * F.col("copies"))
-    return fees.alias("fees"), (fees / F.nullif(rows, F.lit(0))).alias("mean")
+    return fees.alias("fees"), (fees / non_zero(rows)).alias("mean")
 
 
 def fees_over_time(

@@ -6,16 +6,14 @@ day; only the staking and TVL tables are large, and they are aggregated first.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import constants as C
-from ledgerloom.functions.measures import running
+from ledgerloom.functions.measures import non_zero, running
 from ledgerloom.functions.periods import midnight, today
-from ledgerloom.operators.combining import stack
 from ledgerloom.sources.ledger import Ledger
 from ledgerloom.sources.market import SERIES, market_points
 
@@ -86,21 +84,22 @@ def supply_breakdown_over_time(
     """Daily token supply by where it is held.
 
     Total supply is market cap over price; a price of 0 fails under ANSI mode.
-    Only quotes stamped at midnight meet the daily locked amounts.
+    If a moment is quoted twice, the largest quotient counts. Only quotes
+    stamped at midnight meet the daily locked amounts.
     """
     as_of = as_of or today()
-    prices, caps, volumes = (
-        market_points(ledger.market_chart, s, days=days, as_of=as_of).filter(
-            F.col("date") < midnight(as_of)
-        )
-        for s in SERIES
-    )
+    series, value = F.col("series"), F.col("value")
     supply = (
-        prices.withColumnRenamed("value", "price")
-        .join(caps.withColumnRenamed("value", "market_cap"), "date")
-        .join(volumes, "date", "left_semi")
+        market_points(ledger.market_chart, days=days, as_of=as_of)
+        .filter(F.col("date") < midnight(as_of))
         .groupBy("date")
-        .agg(F.max(F.col("market_cap") / F.col("price")).alias("total_supply"))
+        .agg(
+            F.countDistinct("series").alias("found"),
+            F.max(F.when(series == "market_caps", value)).alias("market_cap"),
+            F.min(F.when(series == "prices", value)).alias("price"),
+        )
+        .filter(F.col("found") == len(SERIES))
+        .select("date", (F.col("market_cap") / F.col("price")).alias("total_supply"))
     )
     total = F.col("total_supply")
     unstaked = total - (F.col("staked_locked") + F.col("liquid_supply") + F.col("non_staked_locked"))
@@ -120,18 +119,6 @@ def supply_breakdown_over_time(
     )
 
 
-def _points(ledger: Ledger, days: int, as_of: date, series: Sequence[str] = SERIES) -> DataFrame:
-    """Points of all series in one long frame."""
-    return stack(
-        *(
-            market_points(ledger.market_chart, s, days=days, as_of=as_of).withColumn(
-                "series", F.lit(s)
-            )
-            for s in series
-        )
-    )
-
-
 def staked_locked_kpi(
     ledger: Ledger,
     *,
@@ -148,7 +135,7 @@ def staked_locked_kpi(
     day = midnight(as_of - timedelta(days=1))
     series = F.col("series")
     quoted = (
-        _points(ledger, days, as_of)
+        market_points(ledger.market_chart, days=days, as_of=as_of)
         .filter((series != "market_caps") | (F.col("date") == day))
         .agg(F.countDistinct("series").alias("found"))
         .filter(F.col("found") == len(SERIES))
@@ -171,7 +158,7 @@ def market_snapshot_kpi(
     """
     as_of = as_of or today()
     per_point = (
-        _points(ledger, days, as_of)
+        market_points(ledger.market_chart, days=days, as_of=as_of)
         .groupBy("series", "date")
         .agg(
             F.avg("value").alias("mean"),
@@ -185,7 +172,7 @@ def market_snapshot_kpi(
 
     def mean_of(name: str) -> Column:
         values = F.sum(F.when(series == name, F.col("values")))
-        return F.sum(F.when(series == name, F.col("sum"))) / F.nullif(values, F.lit(0))
+        return F.sum(F.when(series == name, F.col("sum"))) / non_zero(values)
 
     totals = per_point.agg(
         F.count(F.when(is_cap, 1)).alias("caps"),

@@ -137,12 +137,18 @@ def staked_locked_kpi(
     quoted = (
         market_points(ledger.market_chart, days=days, as_of=as_of)
         .filter((series != "market_caps") | (F.col("date") == day))
-        .agg(F.countDistinct("series").alias("found"))
+        .agg(
+            F.countDistinct("series").alias("found"),
+            F.max(F.when(series == "market_caps", F.col("date"))).alias("date"),
+        )
         .filter(F.col("found") == len(SERIES))
-        .select(day.alias("date"))
     )
     locked = _locked_and_staked(ledger, chain_pattern, locked_baseline)
-    return locked.filter(F.col("date") == day).join(quoted, "date", "left_semi").select("staked_locked")
+    return (
+        locked.filter(F.col("date") == day)
+        .join(quoted, "date", "left_semi")
+        .select("staked_locked")
+    )
 
 
 def market_snapshot_kpi(

@@ -14,7 +14,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_SLICE, _AT, _BEFORE, _POS, _LAG = "_slice", "_at", "_before", "_position", "_lag"
+_PERIOD, _SLICE, _AT, _BEFORE = "_period", "_slice", "_at", "_before"
+_POS, _LAG, _TARGET = "_position", "_lag", "_target"
 
 
 def slice_of(tie: Column) -> Column:
@@ -26,26 +27,27 @@ def with_positions(df: DataFrame, group: str, period: str, tie: str) -> DataFram
     """Number the rows of each ``group`` by ``period``, then slice, then ``tie``.
 
     Sorting happens inside ``(group, period, slice)``. Only the slice counts,
-    at most 256 per group and period, are summed up per group.
+    at most 256 per group and period, are summed up per group. ``group`` and
+    ``tie`` must not be NULL; rows without a period come first.
     """
-    keyed = df.withColumn(_SLICE, slice_of(F.col(tie)))
-    keys = [group, period, _SLICE]
+    keyed = df.withColumn(_SLICE, slice_of(F.col(tie))).withColumn(
+        _PERIOD, F.coalesce(F.col(period).cast("string"), F.lit(""))
+    )
+    keys = [group, _PERIOD, _SLICE]
     numbered = keyed.withColumn(
         _AT, F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(tie)))
     )
     earlier = (
         Window.partitionBy(group)
-        .orderBy(period, _SLICE)
+        .orderBy(_PERIOD, _SLICE)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = (
         keyed.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn(_BEFORE, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-        .select(_BEFORE, *(F.col(c).alias(f"_slice_{c}") for c in keys))
+        .select(*keys, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias(_BEFORE))
     )
-    same_slice = [F.col(c).eqNullSafe(F.col(f"_slice_{c}")) for c in keys]
-    return numbered.join(offsets, same_slice).select(
+    return numbered.join(offsets, keys).select(
         *df.columns, (F.col(_AT) + F.col(_BEFORE)).alias(_POS)
     )
 
@@ -61,23 +63,23 @@ def trailing_by_position(
     """Add trailing means and previous values to rows numbered in ``group``.
 
     Every row is offered to its own position and the ``rows - 1`` after it; one
-    aggregate per position then sees the row and its predecessors.
+    aggregate per position then sees the row and its predecessors. Besides
+    ``group``, ``df`` should only carry numbers and times, which Spark can
+    aggregate by hash.
     """
-    columns = [c for c in df.columns if c != _POS]
-    offered = df.select(
-        *columns,
-        F.explode(F.array(*(F.lit(i) for i in range(rows)))).alias(_LAG),
-        F.col(_POS),
-    ).withColumn("_target", F.col(_POS) + F.col(_LAG))
-    own = F.max(F.when(F.col(_LAG) == 0, F.struct(*columns))).alias("_own")
-    measures = [F.avg(value).alias(name) for name, value in means.items()]
-    measures += [
-        F.max(F.when(F.col(_LAG) == 1, value)).alias(name) for name, value in lags.items()
-    ]
-    others = [c for c in columns if c != group]
+    carried = [c for c in df.columns if c not in (group, _POS)]
+    offered = df.withColumn(
+        _LAG, F.explode(F.array(*(F.lit(i) for i in range(rows))))
+    ).withColumn(_TARGET, F.col(_POS) + F.col(_LAG))
+    lag = F.col(_LAG)
     return (
-        offered.groupBy(group, "_target")
-        .agg(own, *measures)
-        .filter(F.col("_own").isNotNull())
-        .select(group, *(F.col(f"_own.{c}").alias(c) for c in others), *means, *lags)
+        offered.groupBy(group, _TARGET)
+        .agg(
+            F.count(F.when(lag == 0, 1)).alias("_present"),
+            *(F.max(F.when(lag == 0, F.col(c))).alias(c) for c in carried),
+            *(F.avg(value).alias(name) for name, value in means.items()),
+            *(F.max(F.when(lag == 1, value)).alias(name) for name, value in lags.items()),
+        )
+        .filter(F.col("_present") > 0)
+        .select(group, F.col(_TARGET).alias(_POS), *carried, *means, *lags)
     )

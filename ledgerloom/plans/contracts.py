@@ -213,12 +213,12 @@ def _means() -> dict[str, Column]:
     }
 
 
-def _trend_columns(df: DataFrame, *tie_break: str) -> DataFrame:
+def _trend_columns(df: DataFrame) -> DataFrame:
     users, before = F.col(_USERS), F.col("prev_week_users")
     return df.orderBy(
         F.col("week_start").desc(),
         F.col(_USERS).desc(),
-        *(F.col(c).asc() for c in ("contract_name", *tie_break)),
+        F.col("contract_name").asc(),
     ).select(
         "contract_name",
         "week_start",
@@ -264,9 +264,12 @@ def _evm_trends(
     # Many addresses can share a name, so neighbours are found by position.
     numbered = with_positions(rows, "contract_name", "week_start", "contract_address")
     trailing = trailing_by_position(
-        numbered, "contract_name", means=_means(), lags={"prev_week_users": F.col(_USERS)}
+        numbered.drop("contract_address"),
+        "contract_name",
+        means=_means(),
+        lags={"prev_week_users": F.col(_USERS)},
     )
-    return _trend_columns(trailing, "contract_address")
+    return _trend_columns(trailing)
 
 
 def native_contract_trends_by_users(

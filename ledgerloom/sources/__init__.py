@@ -1,4 +1,4 @@
-from ledgerloom.sources.layout import write_by_day
+from ledgerloom.sources.layout import save_bucketed, write_by_day
 from ledgerloom.sources.ledger import Ledger
 from ledgerloom.sources.market import market_points, read_market_chart
 from ledgerloom.sources.schemas import FACT_TABLES, TABLES, parse_event_data
@@ -10,5 +10,6 @@ __all__ = [
     "market_points",
     "parse_event_data",
     "read_market_chart",
+    "save_bucketed",
     "write_by_day",
 ]

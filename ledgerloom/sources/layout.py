@@ -21,3 +21,20 @@ def write_by_day(df: DataFrame, path: str, *, key: str, files_per_day: int = 8)
         .partitionBy("block_date")
         .parquet(path)
     )
+
+
+def save_bucketed(df: DataFrame, table: str, *, key: str, buckets: int, path: str) -> None:
+    """Save a table bucketed and sorted by its transaction key.
+
+    Transactions and events (or logs) with the same bucket count join and
+    de-duplicate on the key without a shuffle. A bucket is read by one task, so
+    use :func:`write_by_day` where one key holds a large share of the rows.
+    """
+    (
+        df.repartition(buckets, key)
+        .write.mode("error")
+        .bucketBy(buckets, key)
+        .sortBy(key)
+        .option("path", path)
+        .saveAsTable(table)
+    )

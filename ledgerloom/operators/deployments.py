@@ -40,18 +40,33 @@ def marker_logs(ledger: Ledger, topic: str = C.OWNERSHIP_TOPIC) -> DataFrame:
     )
 
 
-def _announced(ledger: Ledger, span: Span, markers: DataFrame) -> DataFrame:
-    """``(bucket, creator, contract)`` of transactions that have a marker log.
-
-    The big transaction side meets the markers in a semi join, which emits a
-    transaction once however many markers it has. Only the few survivors are
-    de-duplicated and expanded to contracts.
+def _candidates(
+    ledger: Ledger, span: Span, markers: DataFrame, constructor: Column, *columns: Column
+) -> DataFrame:
+    """Transactions with a marker log or a constructor signature, without copies.
+
+    The transactions are read and shuffled once, against one row per marked
+    hash, so none is repeated however many markers it has. That row counts the
+    hash's contracts, which keeps the marker set itself below it, shared with
+    the join that lists them. Its second, derived key makes the join shuffle
+    this side itself: adaptive execution can only split a hot hash where both
+    sides of a join come straight from a shuffle.
     """
-    senders = within(ledger.evm_tx, span).select(
-        "tx_hash", span.bucket().alias("bucket"), F.col("from_address").alias("creator")
+    marked = markers.groupBy("tx_hash", F.length("tx_hash").alias("width")).agg(
+        F.count(F.lit(1)).alias("contracts")
+    )
+    return (
+        within(ledger.evm_tx, span)
+        .join(marked, "tx_hash", "left")
+        .filter(F.col("contracts").isNotNull() | constructor)
+        .select("tx_hash", span.bucket().alias("bucket"), *columns)
+        .distinct()
     )
-    matched = senders.join(markers, "tx_hash", "left_semi").distinct()
-    return matched.join(markers, "tx_hash").select("bucket", "creator", "contract")
+
+
+def _with_contracts(candidates: DataFrame, markers: DataFrame) -> DataFrame:
+    """Candidates times their marker contracts; kept once if they have none."""
+    return candidates.join(markers.withColumn("announced", F.lit(True)), "tx_hash", "left")
 
 
 def evm_deployments(
@@ -68,17 +83,15 @@ def evm_deployments(
     row being tested is itself the transaction the log belongs to.
     """
     markers = marker_logs(ledger, topic)
-    silent = (
-        within(ledger.evm_tx, span)
-        .filter(is_constructor(signatures) & F.col("tx_hash").isNotNull())
-        .join(markers, "tx_hash", "left_anti")
-        .select(
-            span.bucket().alias("bucket"),
-            F.col("from_address").alias("creator"),
-            F.col("tx_hash").alias("contract"),
-        )
+    candidates = _candidates(
+        ledger, span, markers, is_constructor(signatures), F.col("from_address").alias("creator")
+    ).filter(F.col("tx_hash").isNotNull())
+    contract = F.when(F.col("announced"), F.col("contract")).otherwise(F.col("tx_hash"))
+    return (
+        _with_contracts(candidates, markers)
+        .select("bucket", "creator", contract.alias("contract"))
+        .distinct()
     )
-    return _announced(ledger, span, markers).unionByName(silent).distinct()
 
 
 def evm_contracts_or_transactions(
@@ -94,18 +107,22 @@ def evm_contracts_or_transactions(
     unless every one of its logs is a marker, so a transaction with a marker
     and another log adds an address and a hash.
     """
-    announced = _announced(ledger, span, marker_logs(ledger, topic)).select("bucket", "contract")
+    markers = marker_logs(ledger, topic)
+    constructor = F.coalesce(is_constructor(signatures), F.lit(False))
+    candidates = _candidates(
+        ledger, span, markers, constructor, constructor.alias("constructor")
+    )
     only_markers = (
         ledger.evm_log.groupBy("tx_hash")
-        .agg(F.bool_and(is_marker(topic)).alias("all_markers"))
-        .filter("all_markers")
+        .agg(F.bool_and(is_marker(topic)).alias("only_markers"))
+        .filter("only_markers")
     )
-    hashes = (
-        within(ledger.evm_tx, span)
-        .filter(is_constructor(signatures))
-        .select("tx_hash", span.bucket().alias("bucket"))
-        .distinct()
-        .join(only_markers, "tx_hash", "left_anti")
-        .select("bucket", F.col("tx_hash").alias("contract"))
+    # An address for each marker, a hash for each constructor that adds one.
+    adds_hash = F.col("constructor") & F.col("only_markers").isNull()
+    address = F.when(F.col("announced"), F.struct(F.col("contract").alias("contract")))
+    hash_ = F.when(adds_hash, F.struct(F.col("tx_hash").alias("contract")))
+    return (
+        _with_contracts(candidates.join(only_markers, "tx_hash", "left"), markers)
+        .select("bucket", F.explode(F.array_compact(F.array(address, hash_))).alias("found"))
+        .select("bucket", "found.contract")
     )
-    return announced.unionByName(hashes)

@@ -23,3 +23,15 @@ def align(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     joined = left.join(right, on, "full")
     measures = [c for c in joined.columns if c != on]
     return joined.select(on, *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in measures))
+
+
+def having_key(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows of ``df`` whose ``on`` occurs in ``keys``: a skew-proof semi join.
+
+    Copies of a key are combined before they are shuffled. Grouping by a
+    derived second key makes the join shuffle the keys again, which is cheap
+    and leaves both of its sides straight from a shuffle: adaptive execution
+    can then split a key that fills a partition of ``df``.
+    """
+    distinct = keys.select(on, F.length(on).alias("_width")).distinct().select(on)
+    return df.join(distinct, on, "left_semi")

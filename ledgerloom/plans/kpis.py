@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom import constants as C
 from ledgerloom.functions.periods import Span, kpi_span, midnight, series_span, today, within
 from ledgerloom.operators.accounts import all_accounts, evm_accounts, native_accounts
-from ledgerloom.operators.combining import merge_totals, stack
+from ledgerloom.operators.combining import having_key, merge_totals, stack
 from ledgerloom.operators.deployments import evm_deployments
 from ledgerloom.operators.ranking import first_seen
 from ledgerloom.sources.ledger import Ledger
@@ -94,10 +94,8 @@ def native_deployers_kpi(
     span = kpi_span(period, as_of or today(), ledger.genesis)
     added = within(ledger.native_event, span).filter(F.col("event_type") == event_type)
     deployer = F.get(F.col("authorizers"), F.lit(0))
-    return (
-        ledger.partner("native_tx", span)
-        .join(added, "tx_id", "left_semi")
-        .agg(F.countDistinct(deployer).alias("total_cadence_deployers"))
+    return having_key(ledger.partner("native_tx", span), added, "tx_id").agg(
+        F.countDistinct(deployer).alias("total_cadence_deployers")
     )
 
 
@@ -107,7 +105,7 @@ def native_deployers_by_actor_kpi(
     """Distinct actors of all transactions that ever added a contract."""
     added = ledger.native_event.filter(F.col("event_type") == event_type)
     return (
-        ledger.native_actor.join(added, "tx_id", "left_semi")
+        having_key(ledger.native_actor, added, "tx_id")
         .select(F.explode("actors").alias("account"))
         .agg(F.countDistinct("account").alias("total_cadence_deployers"))
     )

@@ -82,6 +82,27 @@ def test_rows_before_joins_do_not_grow_with_copies(tight):
     assert df.filter(F.col("contract").startswith("0xk")).count() < 30_000
 
 
+def test_hot_native_transaction_in_a_semi_join(tight):
+    base = tight.range(0, 60_000, 1, 8)
+    tx_id = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string"))
+    time = F.timestamp_seconds(F.lit(1714521600) + F.col("id")).alias("block_timestamp")
+    account = F.concat(F.lit("u"), (F.col("id") % 777).cast("string"))
+    kind = F.when((F.col("id") % 3 == 0) | (F.col("id") % 5 == 0), C.CONTRACT_ADDED_EVENT)
+    ledger = Ledger.from_frames(
+        {
+            "native_tx": base.select(tx_id.alias("tx_id"), time, F.array(account).alias("authorizers")),
+            "native_event": base.select(tx_id.alias("tx_id"), time, kind.alias("event_type")),
+        }
+    )
+    df = METRICS["native_deployers_kpi"](ledger, period="last_month", as_of=date(2024, 5, 16))
+    (row,) = rows_of(df)
+    assert row["total_cadence_deployers"] == len(
+        {i % 777 for i in range(60_000) if i % 3 == 0 or i % 5 == 0}
+    )
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin\(skew=true\).*LeftSemi", plan)
+
+
 def _brute_force(rows):
     """Trailing means and previous values over a plain sorted list."""
     out, by_name = [], {}

@@ -19,8 +19,12 @@ _POS, _LAG, _TARGET = "_position", "_lag", "_target"
 
 
 def slice_of(tie: Column) -> Column:
-    """One of 256 slices of a tie-break value, the same in every engine."""
-    return F.substring(F.md5(tie), 1, 2)
+    """One of 256 slices of a tie-break value, the same in every engine.
+
+    Never NULL, so that joining on it puts no extra filter on one branch of a
+    plan and the branches can share their scan.
+    """
+    return F.coalesce(F.substring(F.md5(tie), 1, 2), F.lit(""))
 
 
 def with_positions(df: DataFrame, group: str, period: str, tie: str) -> DataFrame:

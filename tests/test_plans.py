@@ -90,6 +90,22 @@ def test_trends_scan_the_facts_once(spark):
     assert "ReusedExchange" in final
 
 
+@pytest.mark.parametrize(
+    "name,scans",
+    [
+        ("contract_deployments_split", 3),
+        ("active_contracts_by_ledger", 3),
+        ("contract_debuts_by_source", 3),
+        ("weekly_evm_contracts_coa", 2),
+        ("deployers_over_time", 4),
+    ],
+)
+def test_deployments_scan_each_table_once(spark, name, scans):
+    df = CHECKS[name].run(spark, MEDIUM)
+    df.collect()
+    assert _plan(df).split("== Initial Plan ==")[0].count("FileScan parquet") == scans
+
+
 @pytest.mark.parametrize("name", [n for n in BASE if "leaderboard" in n])
 def test_leaderboards_are_a_top_k(spark, name):
     plan = _plan(CHECKS[name].run(spark, SMALL))

@@ -101,9 +101,9 @@ def fees_over_time(w: World, period: str) -> str:
           FROM native_event e, native_tx t
           WHERE e.tx_id = t.tx_id AND {FEE} AND {w.closed(period, 'e.block_timestamp')} GROUP BY b
         ), both_ledgers AS (SELECT b, sum(f) AS f, avg(m) AS m FROM halves GROUP BY b)
-        SELECT b AS date, round(f, 2) AS flow_fees, round(m, 1) AS avg_tx_flow_fee,
-               round(sum(f) OVER (ORDER BY b), 2) AS total_flow_fees,
-               round(avg(f) OVER (ORDER BY b {TRAILING}), 4) AS avg_28d_flow_fees
+        SELECT b AS date, f AS flow_fees, m AS avg_tx_flow_fee,
+               sum(f) OVER (ORDER BY b) AS total_flow_fees,
+               avg(f) OVER (ORDER BY b {TRAILING}) AS avg_28d_flow_fees
         FROM both_ledgers""",
     )
 
@@ -116,7 +116,7 @@ def total_fees_kpi(w: World, period: str) -> str:
           UNION ALL
           SELECT sum(event_amount), avg(event_amount) FROM native_event e, native_tx t
           WHERE e.tx_id = t.tx_id AND {FEE} AND {w.since(period, 't.block_timestamp')}
-        ) SELECT round(sum(f), 2) AS total_fees_flow, round(avg(m), 1) AS avg_tx_fee_flow
+        ) SELECT sum(f) AS total_fees_flow, avg(m) AS avg_tx_fee_flow
         FROM halves""",
     )
 
@@ -658,11 +658,11 @@ def supply_breakdown_over_time(w: World, period: str, days: int = 360) -> str:
         _locked(w)
         + f""", quoted AS (SELECT date, market_cap / price AS total FROM quotes
                            WHERE date >= {w.now} - INTERVAL {days} DAYS AND date < {w.now})
-        SELECT q.date, '{C.TOKEN}' AS token, round(total, 4) AS total_supply_actual,
-               round(held, 2) AS staked_locked, round(other, 2) AS non_staked_locked,
-               round(total - (held + liquid + other), 2) AS unstaked_circulating,
-               round(liquid, 2) AS liquid_supply,
-               round(total - (total - (held + liquid + other)), 2) AS free_circulating_supply
+        SELECT q.date, '{C.TOKEN}' AS token, total AS total_supply_actual,
+               held AS staked_locked, other AS non_staked_locked,
+               total - (held + liquid + other) AS unstaked_circulating,
+               liquid AS liquid_supply,
+               total - (total - (held + liquid + other)) AS free_circulating_supply
         FROM quoted q JOIN locked l ON q.date = CAST(l.date AS TIMESTAMP)""",
     )
 
@@ -671,7 +671,7 @@ def staked_locked_kpi(w: World, period: str) -> str:
     return w.sql(
         "quotes protocol_tvl staking_action",
         _locked(w)
-        + f""" SELECT round(max(held), 2) AS staked_locked
+        + f""" SELECT max(held) AS staked_locked
         FROM locked l JOIN quotes q ON q.date = CAST(l.date AS TIMESTAMP)
         WHERE l.date = {w.now} - 1 GROUP BY l.date""",
     )

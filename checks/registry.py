@@ -47,24 +47,8 @@ REPORTS = (
     "evm_contract_trends_by_interactions",
 )
 
-# Digits for sums of doubles, whose last bits depend on the order of addition.
+# Digits for quotients that the oracle gets by combining all points with all.
 ROUND = {
-    "fees_over_time": {
-        "flow_fees": 2,
-        "avg_tx_flow_fee": 1,
-        "total_flow_fees": 2,
-        "avg_28d_flow_fees": 4,
-    },
-    "total_fees_kpi": {"total_fees_flow": 2, "avg_tx_fee_flow": 1},
-    "supply_breakdown_over_time": {
-        "total_supply_actual": 4,
-        "staked_locked": 2,
-        "non_staked_locked": 2,
-        "unstaked_circulating": 2,
-        "liquid_supply": 2,
-        "free_circulating_supply": 2,
-    },
-    "staked_locked_kpi": {"staked_locked": 2},
     "market_snapshot_kpi": {"market_cap": 2, "price": 1, "volume": 4, "total_supply": 0},
 }
 

@@ -6,7 +6,8 @@ Spark and DuckDB; only ``LIST(...)`` is spelled differently there.
 
 The mapping is skewed on purpose: a third of the native events belong to the
 fee contract, a third of the native transactions share one account, and many
-EVM contracts share the empty name.
+EVM contracts share the empty name. Amounts are whole numbers, so that sums of
+doubles are exact in any order of addition.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ CHAIN_VIEWS = {
                     WHEN l_returnflag = 'R' AND l_quantity <= 45 THEN '{C.FEE_EVENT}'
                     ELSE 'Deposit' END AS event_type,
                CASE WHEN l_discount > 0 THEN CAST(l_partkey % 500 AS STRING) END AS event_from,
-               l_extendedprice AS event_amount
+               CAST(floor(l_extendedprice) AS DOUBLE) AS event_amount
         FROM {{lineitem}}""",
     "native_actor": """
         SELECT CAST(o_orderkey AS STRING) AS tx_id, o_orderdate AS block_timestamp,
@@ -76,7 +77,7 @@ CHAIN_VIEWS = {
                     THEN '0xr' || CAST(l_suppkey % 5 AS STRING)
                     WHEN l_quantity < 25 THEN '0xc' || CAST(l_partkey % 40 AS STRING)
                     ELSE '0xc' || CAST(l_partkey AS STRING) END AS to_address,
-               l_extendedprice AS tx_fee, l_returnflag <> 'R' AS tx_succeeded,
+               CAST(floor(l_extendedprice) AS DOUBLE) AS tx_fee, l_returnflag <> 'R' AS tx_succeeded,
                CASE WHEN l_quantity < 5 THEN '0x' WHEN l_quantity > 48 THEN NULL
                     ELSE '0x1234' END AS input_data,
                CASE l_linenumber WHEN 7 THEN '0x60806040' WHEN 6 THEN '0x60c06040'
@@ -98,7 +99,7 @@ CHAIN_VIEWS = {
                CASE o_orderstatus WHEN 'F' THEN 'TokensCommitted'
                     WHEN 'O' THEN 'UnstakedTokensWithdrawn'
                     ELSE 'DelegatorTokensCommitted' END AS action,
-               o_totalprice AS amount
+               CAST(floor(o_totalprice) AS DOUBLE) AS amount
         FROM {orders}""",
     "protocol_tvl": """
         SELECT CAST(l_shipdate AS DATE) AS date,
@@ -106,10 +107,11 @@ CHAIN_VIEWS = {
                CASE l_linenumber WHEN 1 THEN 'Staking Pool' WHEN 2 THEN 'Liquid Staking'
                     WHEN 3 THEN 'Lending' WHEN 4 THEN 'Services' WHEN 5 THEN 'Derivatives'
                     WHEN 6 THEN 'Launchpad' ELSE 'Dexes' END AS category,
-               l_extendedprice AS chain_tvl
+               CAST(floor(l_extendedprice) AS DOUBLE) AS chain_tvl
         FROM {lineitem}""",
     "quotes": """
-        SELECT o_orderdate AS date, max(o_totalprice) AS price, sum(o_totalprice) AS market_cap,
+        SELECT o_orderdate AS date, CAST(max(floor(o_totalprice)) AS DOUBLE) AS price,
+               CAST(sum(floor(o_totalprice)) AS DOUBLE) AS market_cap,
                CAST(count(*) AS DOUBLE) AS volume
         FROM {orders} GROUP BY o_orderdate""",
 }
@@ -127,7 +129,8 @@ CLICK_VIEWS = {
                     ELSE 'A.' || event_type || CAST(user_id % 9 AS STRING) END AS event_contract,
                CASE event_type WHEN 'purchase' THEN '{C.FEE_EVENT}'
                     WHEN 'signup' THEN '{C.CONTRACT_ADDED_EVENT}' ELSE 'Deposit' END AS event_type,
-               CAST(user_id AS STRING) AS event_from, value AS event_amount
+               CAST(user_id AS STRING) AS event_from,
+               CAST(floor(value * 100) AS DOUBLE) AS event_amount
         FROM {{events}}""",
     "native_actor": """
         SELECT 'n' || CAST(event_id AS STRING) AS tx_id, ts AS block_timestamp,
@@ -138,7 +141,7 @@ CLICK_VIEWS = {
                CASE WHEN user_id % 3 = 0 THEN '{C.COA_PREFIX}' ELSE '0xe' END
                || CAST(user_id AS STRING) AS from_address,
                '0xc' || CAST(user_id % 10 AS STRING) AS to_address,
-               value AS tx_fee, event_type <> 'error' AS tx_succeeded, '0x1234' AS input_data,
+               CAST(floor(value * 100) AS DOUBLE) AS tx_fee, event_type <> 'error' AS tx_succeeded, '0x1234' AS input_data,
                CASE WHEN event_type = 'signup' THEN '0x60806040' ELSE '0xa9059cbb' END
                AS origin_function_signature
         FROM {{events}}""",

@@ -58,3 +58,36 @@ WITH hashed AS (
 )
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM ranked
 """
+
+ORACLES["op5_decontamination"] = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, words[i : i + least(len(words), 10) - 1] AS gram, least(len(words), 10) AS width
+  FROM items, unnest(range(1, greatest(len(words) - 9, 1) + 1)) steps(i)
+  WHERE len(words) > 0
+), grams AS (
+  SELECT doc_id, i, width, words[i : i + width - 1] AS gram
+  FROM docs, (SELECT DISTINCT width FROM windows) widths, unnest(range(1, len(words) - width + 2)) steps(i)
+), matches AS (
+  SELECT g.doc_id, g.i, g.width, w.item_id FROM grams g JOIN windows w USING (gram, width)
+), hit AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM matches, unnest(range(i, i + width)) steps(place) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items,
+         sha256(string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS items_sha256
+  FROM matches GROUP BY doc_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read
 from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
 from .mixing import mix
-from .simhash import near_duplicates
+from .secrets import scan
 from .sharding import shard_documents
+from .simhash import near_duplicates
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +31,17 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_assign",
+        "n_access",
+        "n_hex",
+        F.sha2("base_spans", 256).alias("base_sha256"),
+        "spans",
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -38,5 +51,6 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op5_decontamination": op5_decontamination,
     "op8_sharding": op8_sharding,
+    "op9_secrets": op9_secrets,
     "op10_simhash": op10_simhash,
 }

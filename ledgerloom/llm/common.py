@@ -51,6 +51,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Rows of a side that may be sent to every task; sides of this package have about 100 bytes a row.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, marked for broadcast if it counts ``rows`` rows at most; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and leave every other letter as it is.
 

@@ -16,15 +16,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import ascii_lower, stored
+from .common import ascii_lower, small, stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPAN = 10
-# Words and windows of a benchmark up to so many rows are sent to all tasks (about 100 bytes each);
-# larger ones are joined by shuffling.
-BROADCAST_ROWS = 100_000
 
 
 def words(text: Column) -> Column:
@@ -32,11 +28,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df``, to be broadcast if it is counted to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def tokenised(docs: DataFrame) -> DataFrame:
     """``(text_key, words)`` of the distinct or repeated texts of ``docs``."""
     return docs.select(F.md5(F.coalesce("text", F.lit(""))).alias("text_key"), words(F.col("text")).alias("words"))
@@ -61,7 +52,7 @@ def anchored(windows: DataFrame, texts: DataFrame) -> DataFrame:
     vocabulary = stored(places.select("term").distinct(), "terms")
     counts = stored(
         texts.select(F.explode("words").alias("term"))
-        .join(_small(vocabulary), "term")
+        .join(small(vocabulary), "term")
         .groupBy("term")
         .count(),
         "term-counts",
@@ -81,7 +72,7 @@ def postings(texts: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
     """
     first = F.greatest(F.col("position") - reach, F.lit(0))
     spread = texts.select("text_key", "words", F.posexplode("words").alias("position", "term"))
-    return spread.join(_small(terms), "term").select(
+    return spread.join(small(terms), "term").select(
         "term",
         "text_key",
         "position",
@@ -95,7 +86,7 @@ def phrase_matches(index: DataFrame, anchors: DataFrame) -> DataFrame:
     start = F.col("position") - F.col("offset")
     here = F.slice("around", F.greatest(start - F.col("first"), F.lit(0)) + 1, F.size("window"))
     return (
-        index.join(_small(anchors), "term")
+        index.join(small(anchors), "term")
         .filter((start >= F.col("first")) & (here == F.col("window")))
         .select("text_key", start.alias("start"), "window")
     )

@@ -12,6 +12,7 @@ from .mixing import mix
 from .secrets import scan
 from .sharding import shard_documents
 from .simhash import near_duplicates
+from .url_filter import filter_urls
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +28,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(read(spark, sf_dir, "pages"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_decontamination": op5_decontamination,
+    "op6_url_filter": op6_url_filter,
     "op8_sharding": op8_sharding,
     "op9_secrets": op9_secrets,
     "op10_simhash": op10_simhash,

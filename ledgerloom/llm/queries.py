@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import read
 from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
+from .html_text import extract_text
 from .mixing import mix
 from .secrets import scan
 from .sharding import shard_documents
@@ -32,6 +33,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read(spark, sf_dir, "pages"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_url_filter": op6_url_filter,
+    "op7_html_text": op7_html_text,
     "op8_sharding": op8_sharding,
     "op9_secrets": op9_secrets,
     "op10_simhash": op10_simhash,

@@ -10,6 +10,7 @@ from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
 from .mixing import mix
+from .pii import pseudonymise
 from .secrets import scan
 from .sharding import shard_documents
 from .simhash import near_duplicates
@@ -30,6 +31,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(read(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_pii": op4_pii,
     "op5_decontamination": op5_decontamination,
     "op6_url_filter": op6_url_filter,
     "op7_html_text": op7_html_text,

@@ -168,4 +168,4 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) ->
     """The rows of ``docs`` without a benchmark window, with all their columns."""
     hits = stored(text_hits(docs, benchmark, span).select("text_key"), "hits")
     key = F.md5(F.coalesce("text", F.lit("")))
-    return docs.join(hits, key == hits["text_key"], "left_anti")
+    return docs.join(small(hits), key == hits["text_key"], "left_anti")

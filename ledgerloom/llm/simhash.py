@@ -14,7 +14,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import UPPER, stored
@@ -89,32 +89,41 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return texts.mapInArrow(compute, f"doc_id {kind}, fp bigint")
 
 
-def close_pairs(distinct: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all fingerprints of ``distinct`` (column fp) within two bits.
+def balls(values: DataFrame, bits: int = BITS, keys: tuple[str, ...] = (), **more: Column) -> DataFrame:
+    """Where values within two bits of each other meet: one row per variant with two values or more.
 
-    Members of one group are within two bits of each other, so a star around the smallest one
-    links them all; every pair within two bits shares a group.
+    ``values`` has distinct values in column fp (and ``keys``, inside which they meet). Columns:
+    keys, members (the values within one bit of the variant) and the aggregates ``more``.
     """
-    variants = distinct.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(BITS - 1))).alias("flip"))
+    variants = values.select("*", F.explode(F.sequence(F.lit(-1), F.lit(bits - 1))).alias("flip"))
     bit = F.expr("if(flip < 0, 0L, shiftleft(1L, flip))")
-    balls = (
-        variants.select(F.col("fp").bitwiseXOR(bit).alias("variant"), bit.alias("mask"))
-        .groupBy("variant")
+    met = (
+        variants.withColumns({"variant": F.col("fp").bitwiseXOR(bit), "mask": bit})
+        .groupBy(*keys, "variant")
         .agg(
             F.bit_or("mask").alias("flips"),
             F.max(F.col("mask") == 0).alias("itself"),
+            *[column.alias(name) for name, column in more.items()],
         )
         .filter((F.bit_count("flips") + F.col("itself").cast("int")) > 1)
     )
-    flipped = F.filter(
-        F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.getbit("flips", i) == 1
+    flipped = F.filter(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.getbit("flips", i) == 1)
+    near = F.transform(
+        flipped,
+        lambda i: F.col("variant").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)),
     )
-    members = F.transform(
-        flipped, lambda i: F.col("variant").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))
-    )
-    members = F.when(F.col("itself"), F.concat(members, F.array("variant"))).otherwise(members)
+    members = F.when(F.col("itself"), F.concat(near, F.array("variant"))).otherwise(near)
+    return met.select(*keys, "variant", members.alias("members"), *more)
+
+
+def close_pairs(distinct: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all fingerprints of ``distinct`` (column fp) within two bits.
+
+    Members of one group are within two bits of each other, so a star around the smallest one
+    links them all; every pair within two bits shares a group.
+    """
     return (
-        balls.select(members.alias("members"))
+        balls(distinct)
         .select(F.array_min("members").alias("a"), F.explode("members").alias("b"))
         .filter("a <> b")
         .filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)

@@ -313,3 +313,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE) -> D
     """
     scored = score_documents(docs, fit(docs, labels, sample_rows))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def clean_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that are not predicted to be toxic, with all their columns."""
+    known = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample_rows))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scored = known.value.score
+        for batch in batches:
+            texts = batch.column("text")
+            yield batch.filter(pa.array([scored(t.as_py() or "") < 0.5 for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

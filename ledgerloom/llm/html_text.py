@@ -55,6 +55,8 @@ NAMES = re.compile(r"""(?i)(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)
 # Bounds of the weights, so that no single kind of block decides alone.
 WORD_WEIGHT = (-1.0, 1.0)
 TAG_WEIGHT = (-0.5, -0.02)
+# Words that are left out anyway only part regions: an advert in the middle of a text should not.
+ASIDE_WEIGHT = (-0.1, -0.05)
 PRIOR = 50.0
 
 
@@ -174,9 +176,7 @@ def learn_weights(pages: DataFrame) -> dict[tuple[str, str], float]:
     for row in counts.collect():
         start = PRIOR if row.sort == "word" else 0.0  # unseen: words are text, tags are not
         odds = math.log((row.inside + start + 1) / (row.outside + 1))
-        low, high = TAG_WEIGHT if row.sort == "tag" else WORD_WEIGHT
-        if row.sort == "aside":
-            high = low / 2
+        low, high = {"tag": TAG_WEIGHT, "word": WORD_WEIGHT, "aside": ASIDE_WEIGHT}[row.sort]
         weights[row.sort, row.kind] = min(high, max(low, odds))
     return weights
 
@@ -204,11 +204,11 @@ def main_text(page: str, weights: dict[tuple[str, str], float]) -> str:
         text = part.text()
         for tag in part.tags:
             kind = tag if tag in BLOCKS else "other"
-            scores.append(weights.get(("tag", kind), TAG_WEIGHT[1]))
+            scores.append(TAG_WEIGHT[1] if part.aside else weights.get(("tag", kind), TAG_WEIGHT[1]))
             owners.append(None)
         count = text.count(" ") + 1 if text else 0
         if count:
-            default = WORD_WEIGHT[0] / 2 if part.aside else WORD_WEIGHT[1]
+            default = ASIDE_WEIGHT[1] if part.aside else WORD_WEIGHT[1]
             sort = "aside" if part.aside else "word"
             scores.append(count * weights.get((sort, part.kind), default))
             owners.append("" if part.aside else text)

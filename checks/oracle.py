@@ -81,6 +81,12 @@ def cents(x: str, y: str) -> str:
     return f"CAST((200 * {x} + {y}) // (2 * {y}) AS BIGINT)"
 
 
+def exact(amount: str) -> str:
+    """Sum and mean of amounts with cents, added up as decimals."""
+    total = f"sum(CAST({amount} AS DECIMAL(18,2)))"
+    return f"{total} AS f, CAST({total} AS DOUBLE) / count({amount}) AS m"
+
+
 MARKER = f"coalesce(topics[1] ILIKE '%{C.OWNERSHIP_TOPIC}%', FALSE)"
 CTOR = "origin_function_signature IN ('0x60c06040', '0x60806040')"
 CALL = "tx_succeeded AND to_address IS NOT NULL AND input_data IS NOT NULL AND input_data <> '0x'"
@@ -94,17 +100,17 @@ def fees_over_time(w: World, period: str) -> str:
     return w.sql(
         "evm_tx native_tx native_event",
         f""", halves AS (
-          SELECT date_trunc('{g}', block_timestamp) AS b, sum(tx_fee) AS f, avg(tx_fee) AS m
+          SELECT date_trunc('{g}', block_timestamp) AS b, {exact('tx_fee')}
           FROM evm_tx WHERE {w.closed(period)} GROUP BY b
           UNION
-          SELECT date_trunc('{g}', e.block_timestamp) AS b, sum(event_amount), avg(event_amount)
+          SELECT date_trunc('{g}', e.block_timestamp) AS b, {exact('event_amount')}
           FROM native_event e, native_tx t
           WHERE e.tx_id = t.tx_id AND {FEE} AND {w.closed(period, 'e.block_timestamp')} GROUP BY b
         ), both_ledgers AS (SELECT b, sum(f) AS f, avg(m) AS m FROM halves GROUP BY b)
-        SELECT b AS date, f AS flow_fees, m AS avg_tx_flow_fee,
-               sum(f) OVER (ORDER BY b) AS total_flow_fees,
-               avg(f) OVER (ORDER BY b {TRAILING}) AS avg_28d_flow_fees
-        FROM both_ledgers""",
+        SELECT b AS date, CAST(f AS DOUBLE) AS flow_fees, m AS avg_tx_flow_fee,
+               CAST(sum(f) OVER (ORDER BY b) AS DOUBLE) AS total_flow_fees,
+               CAST(sum(f) OVER t AS DOUBLE) / count(*) OVER t AS avg_28d_flow_fees
+        FROM both_ledgers WINDOW t AS (ORDER BY b {TRAILING})""",
     )
 
 
@@ -112,11 +118,11 @@ def total_fees_kpi(w: World, period: str) -> str:
     return w.sql(
         "evm_tx native_tx native_event",
         f""", halves AS (
-          SELECT sum(tx_fee) AS f, avg(tx_fee) AS m FROM evm_tx WHERE {w.since(period)}
+          SELECT {exact('tx_fee')} FROM evm_tx WHERE {w.since(period)}
           UNION ALL
-          SELECT sum(event_amount), avg(event_amount) FROM native_event e, native_tx t
+          SELECT {exact('event_amount')} FROM native_event e, native_tx t
           WHERE e.tx_id = t.tx_id AND {FEE} AND {w.since(period, 't.block_timestamp')}
-        ) SELECT sum(f) AS total_fees_flow, avg(m) AS avg_tx_fee_flow
+        ) SELECT CAST(sum(f) AS DOUBLE) AS total_fees_flow, avg(m) AS avg_tx_fee_flow
         FROM halves""",
     )
 
@@ -465,7 +471,7 @@ def _evm_board(rank: str, labels: dict[str, str]):
 
 
 def _trend(w: World, view: str, body: str, rank: str, period: str, min_users: int, k: int) -> str:
-    """Trailing values over rows ordered by week, then by the hash of the address."""
+    """Trailing values over rows ordered by week, then by address."""
     return w.sql(
         view,
         f""", weekly AS (
@@ -477,7 +483,7 @@ def _trend(w: World, view: str, body: str, rank: str, period: str, min_users: in
                    contract_name NULLS LAST LIMIT {k}
         ), rows_of_best AS (
           SELECT *, row_number() OVER (PARTITION BY contract_name
-                      ORDER BY week, substr(md5(address), 1, 2), address) AS seq
+                      ORDER BY week, address) AS seq
           FROM weekly, best WHERE contract_name = top_name
         ), numbered AS (
           SELECT *, lag(users) OVER o AS before, avg(users) OVER t AS mean_users,

@@ -6,8 +6,9 @@ Spark and DuckDB; only ``LIST(...)`` is spelled differently there.
 
 The mapping is skewed on purpose: a third of the native events belong to the
 fee contract, a third of the native transactions share one account, and many
-EVM contracts share the empty name. Amounts are whole numbers, so that sums of
-doubles are exact in any order of addition.
+EVM contracts share the empty name. Fees have cents; staked and locked amounts
+and quotes are whole numbers, so that sums of doubles are exact in any order of
+addition.
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ CHAIN_VIEWS = {
                     WHEN l_returnflag = 'R' AND l_quantity <= 45 THEN '{C.FEE_EVENT}'
                     ELSE 'Deposit' END AS event_type,
                CASE WHEN l_discount > 0 THEN CAST(l_partkey % 500 AS STRING) END AS event_from,
-               CAST(floor(l_extendedprice) AS DOUBLE) AS event_amount
+               CAST(l_extendedprice AS DOUBLE) AS event_amount
         FROM {{lineitem}}""",
     "native_actor": """
         SELECT CAST(o_orderkey AS STRING) AS tx_id, o_orderdate AS block_timestamp,
@@ -77,7 +78,7 @@ CHAIN_VIEWS = {
                     THEN '0xr' || CAST(l_suppkey % 5 AS STRING)
                     WHEN l_quantity < 25 THEN '0xc' || CAST(l_partkey % 40 AS STRING)
                     ELSE '0xc' || CAST(l_partkey AS STRING) END AS to_address,
-               CAST(floor(l_extendedprice) AS DOUBLE) AS tx_fee, l_returnflag <> 'R' AS tx_succeeded,
+               CAST(l_extendedprice AS DOUBLE) AS tx_fee, l_returnflag <> 'R' AS tx_succeeded,
                CASE WHEN l_quantity < 5 THEN '0x' WHEN l_quantity > 48 THEN NULL
                     ELSE '0x1234' END AS input_data,
                CASE l_linenumber WHEN 7 THEN '0x60806040' WHEN 6 THEN '0x60c06040'
@@ -130,7 +131,7 @@ CLICK_VIEWS = {
                CASE event_type WHEN 'purchase' THEN '{C.FEE_EVENT}'
                     WHEN 'signup' THEN '{C.CONTRACT_ADDED_EVENT}' ELSE 'Deposit' END AS event_type,
                CAST(user_id AS STRING) AS event_from,
-               CAST(floor(value * 100) AS DOUBLE) AS event_amount
+               round(value, 2) AS event_amount
         FROM {{events}}""",
     "native_actor": """
         SELECT 'n' || CAST(event_id AS STRING) AS tx_id, ts AS block_timestamp,
@@ -141,7 +142,7 @@ CLICK_VIEWS = {
                CASE WHEN user_id % 3 = 0 THEN '{C.COA_PREFIX}' ELSE '0xe' END
                || CAST(user_id AS STRING) AS from_address,
                '0xc' || CAST(user_id % 10 AS STRING) AS to_address,
-               CAST(floor(value * 100) AS DOUBLE) AS tx_fee, event_type <> 'error' AS tx_succeeded, '0x1234' AS input_data,
+               round(value, 2) AS tx_fee, event_type <> 'error' AS tx_succeeded, '0x1234' AS input_data,
                CASE WHEN event_type = 'signup' THEN '0x60806040' ELSE '0xa9059cbb' END
                AS origin_function_signature
         FROM {{events}}""",

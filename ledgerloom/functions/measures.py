@@ -32,6 +32,12 @@ def trailing_mean(
     return F.avg(value).over(w.rowsBetween(1 - rows, Window.currentRow))
 
 
+def trailing_quotient(value: Column, order_by: str, rows: int = 4) -> Column:
+    """:func:`trailing_mean` of an exact value: its exact sum, divided at the end."""
+    w = Window.orderBy(*order_nulls_last(order_by)).rowsBetween(1 - rows, Window.currentRow)
+    return F.sum(value).over(w).cast("double") / F.count(value).over(w)
+
+
 def previous(value: Column, order_by: str, partition_by: Sequence[str] = ()) -> Column:
     w = Window.partitionBy(*partition_by).orderBy(*order_nulls_last(order_by))
     return F.lag(value, 1).over(w)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import constants as C
 from ledgerloom.functions.periods import Span, within
+from ledgerloom.operators.combining import having_key
 from ledgerloom.sources.ledger import Ledger
 
 
@@ -27,48 +28,43 @@ def is_constructor(signatures: Sequence[str] = C.CONSTRUCTOR_SIGNATURES) -> Colu
     return F.col("origin_function_signature").isin(*signatures)
 
 
-def marker_logs(ledger: Ledger, topic: str = C.OWNERSHIP_TOPIC) -> DataFrame:
-    """Distinct ``(tx_hash, contract)`` pairs of marker logs, over all time.
+def marker_logs(ledger: Ledger, span: Span, topic: str = C.OWNERSHIP_TOPIC) -> DataFrame:
+    """Distinct ``(tx_hash, contract)`` pairs of marker logs.
 
+    Over all time, unless logs carry the block time of their transactions.
     Filtered and de-duplicated before any join, so one noisy transaction
     reaches the join with one row per contract.
     """
     return (
-        ledger.evm_log.filter(is_marker(topic))
+        ledger.partner("evm_log", span)
+        .filter(is_marker(topic) & F.col("tx_hash").isNotNull())
         .select("tx_hash", F.col("contract_address").alias("contract"))
         .distinct()
     )
 
 
-def _candidates(
-    ledger: Ledger, span: Span, markers: DataFrame, constructor: Column, *columns: Column
-) -> DataFrame:
-    """Transactions with a marker log or a constructor signature, without copies.
-
-    The transactions are read and shuffled once, against one row per marked
-    hash, so none is repeated however many markers it has. That row counts the
-    hash's contracts, which keeps the marker set itself below it, shared with
-    the join that lists them. Its second, derived key makes the join shuffle
-    this side itself: adaptive execution can only split a hot hash where both
-    sides of a join come straight from a shuffle.
+def _announced(ledger: Ledger, span: Span, markers: DataFrame, *columns: Column) -> DataFrame:
+    """Marker contracts with the columns of their transactions.
+
+    Transactions are first reduced to marked hashes, without copies; only then
+    does each meet its contracts.
     """
-    marked = markers.groupBy("tx_hash", F.length("tx_hash").alias("width")).agg(
-        F.count(F.lit(1)).alias("contracts")
-    )
+    rows = within(ledger.evm_tx, span).select("tx_hash", *columns)
+    return having_key(rows, markers, "tx_hash").distinct().join(markers, "tx_hash")
+
+
+def _constructors(
+    ledger: Ledger, span: Span, signatures: Sequence[str], *columns: Column
+) -> DataFrame:
+    """Transactions with a constructor signature and a hash, without copies."""
     return (
         within(ledger.evm_tx, span)
-        .join(marked, "tx_hash", "left")
-        .filter(F.col("contracts").isNotNull() | constructor)
-        .select("tx_hash", span.bucket().alias("bucket"), *columns)
+        .filter(is_constructor(signatures) & F.col("tx_hash").isNotNull())
+        .select("tx_hash", *columns)
         .distinct()
     )
 
 
-def _with_contracts(candidates: DataFrame, markers: DataFrame) -> DataFrame:
-    """Candidates times their marker contracts; kept once if they have none."""
-    return candidates.join(markers.withColumn("announced", F.lit(True)), "tx_hash", "left")
-
-
 def evm_deployments(
     ledger: Ledger,
     span: Span,
@@ -78,18 +74,19 @@ def evm_deployments(
 ) -> DataFrame:
     """Distinct ``(bucket, creator, contract)`` of deployments inside ``span``.
 
-    Whether a constructor transaction was announced is checked against the
-    logs of all time. The check needs no second look at the transactions: the
-    row being tested is itself the transaction the log belongs to.
+    Two narrow scans of the transactions: those with a marker log, by a join
+    that keeps little, and those with a constructor signature, by a filter that
+    reaches the files. The second kind counts without any marker log of all
+    time; the row being tested is itself the transaction the log belongs to.
     """
-    markers = marker_logs(ledger, topic)
-    candidates = _candidates(
-        ledger, span, markers, is_constructor(signatures), F.col("from_address").alias("creator")
-    ).filter(F.col("tx_hash").isNotNull())
-    contract = F.when(F.col("announced"), F.col("contract")).otherwise(F.col("tx_hash"))
+    markers = marker_logs(ledger, span, topic)
+    columns = span.bucket().alias("bucket"), F.col("from_address").alias("creator")
+    announced = _announced(ledger, span, markers, *columns)
+    constructors = _constructors(ledger, span, signatures, *columns)
+    alone = constructors.join(markers.select("tx_hash").distinct(), "tx_hash", "left_anti")
     return (
-        _with_contracts(candidates, markers)
-        .select("bucket", "creator", contract.alias("contract"))
+        announced.select("bucket", "creator", "contract")
+        .union(alone.select("bucket", "creator", "tx_hash"))
         .distinct()
     )
 
@@ -105,24 +102,18 @@ def evm_contracts_or_transactions(
 
     Unlike :func:`evm_deployments`, a constructor transaction adds its hash
     unless every one of its logs is a marker, so a transaction with a marker
-    and another log adds an address and a hash.
+    and another log adds an address and a hash. The logs are reduced to those
+    of constructor transactions before they are looked at as groups.
     """
-    markers = marker_logs(ledger, topic)
-    constructor = F.coalesce(is_constructor(signatures), F.lit(False))
-    candidates = _candidates(
-        ledger, span, markers, constructor, constructor.alias("constructor")
-    )
+    bucket = span.bucket().alias("bucket")
+    announced = _announced(ledger, span, marker_logs(ledger, span, topic), bucket)
+    constructors = _constructors(ledger, span, signatures, bucket)
+    logs = ledger.partner("evm_log", span).select("tx_hash", is_marker(topic).alias("marker"))
     only_markers = (
-        ledger.evm_log.groupBy("tx_hash")
-        .agg(F.bool_and(is_marker(topic)).alias("only_markers"))
+        having_key(logs, constructors, "tx_hash")
+        .groupBy("tx_hash")
+        .agg(F.bool_and("marker").alias("only_markers"))
         .filter("only_markers")
     )
-    # An address for each marker, a hash for each constructor that adds one.
-    adds_hash = F.col("constructor") & F.col("only_markers").isNull()
-    address = F.when(F.col("announced"), F.struct(F.col("contract").alias("contract")))
-    hash_ = F.when(adds_hash, F.struct(F.col("tx_hash").alias("contract")))
-    return (
-        _with_contracts(candidates.join(only_markers, "tx_hash", "left"), markers)
-        .select("bucket", F.explode(F.array_compact(F.array(address, hash_))).alias("found"))
-        .select("bucket", "found.contract")
-    )
+    alone = constructors.join(only_markers, "tx_hash", "left_anti")
+    return announced.select("bucket", "contract").union(alone.select("bucket", "tx_hash"))

@@ -18,23 +18,31 @@ _PERIOD, _SLICE, _AT, _BEFORE = "_period", "_slice", "_at", "_before"
 _POS, _LAG, _TARGET = "_position", "_lag", "_target"
 
 
-def slice_of(tie: Column) -> Column:
-    """One of 256 slices of a tie-break value, the same in every engine.
+# "0x" and two hexadecimal digits: 256 slices of addresses.
+PREFIX = 4
 
+
+def slice_of(tie: Column, prefix: int = PREFIX) -> Column:
+    """The first ``prefix`` characters of a tie-break value.
+
+    Prefixes sort like the values, so the slices of an order are its parts.
     Never NULL, so that joining on it puts no extra filter on one branch of a
     plan and the branches can share their scan.
     """
-    return F.coalesce(F.substring(F.md5(tie), 1, 2), F.lit(""))
+    return F.coalesce(F.substring(tie, 1, prefix), F.lit(""))
 
 
-def with_positions(df: DataFrame, group: str, period: str, tie: str) -> DataFrame:
-    """Number the rows of each ``group`` by ``period``, then slice, then ``tie``.
+def with_positions(
+    df: DataFrame, group: str, period: str, tie: str, prefix: int = PREFIX
+) -> DataFrame:
+    """Number the rows of each ``group`` by ``period``, then ``tie``.
 
-    Sorting happens inside ``(group, period, slice)``. Only the slice counts,
-    at most 256 per group and period, are summed up per group. ``group`` and
-    ``tie`` must not be NULL; rows without a period come first.
+    Sorting happens inside ``(group, period, slice)``. Only the slice counts
+    are summed up per group. ``prefix`` sets the number of slices (256 for
+    hexadecimal addresses by default) and has no influence on the positions.
+    ``group`` and ``tie`` must not be NULL; rows without a period come first.
     """
-    keyed = df.withColumn(_SLICE, slice_of(F.col(tie))).withColumn(
+    keyed = df.withColumn(_SLICE, slice_of(F.col(tie), prefix)).withColumn(
         _PERIOD, F.coalesce(F.col(period).cast("string"), F.lit(""))
     )
     keys = [group, _PERIOD, _SLICE]

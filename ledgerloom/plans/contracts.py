@@ -18,7 +18,8 @@ from ledgerloom.functions.measures import (
     previous,
     trailing_mean,
 )
-from ledgerloom.functions.periods import Span, midnight, report_start, today, within
+from ledgerloom.functions.periods import Span, ceil_date, report_start, today, within
+from ledgerloom.operators.combining import stack
 from ledgerloom.operators.ranking import top_rows
 from ledgerloom.operators.sequences import trailing_by_position, with_positions
 from ledgerloom.sources.ledger import Ledger
@@ -57,18 +58,16 @@ def _named(usage: DataFrame, ledger: Ledger, labels: Mapping[str, str]) -> DataF
     )
 
 
-def _native_usage(ledger: Ledger, span: Span, min_users: int, *keys: Column) -> DataFrame:
-    rows = within(ledger.native_event, span).filter(is_user_event())
+def _native_usage(events: DataFrame, min_users: int, *keys: Column) -> DataFrame:
     contract = F.col("event_contract").alias("contract_name")
-    return _usage(rows, [contract, *keys], "event_from", min_users)
+    return _usage(events, [contract, *keys], "event_from", min_users)
 
 
 def _evm_usage(
-    ledger: Ledger, span: Span, min_users: int, labels: Mapping[str, str], *keys: Column
+    calls: DataFrame, ledger: Ledger, min_users: int, labels: Mapping[str, str], *keys: Column
 ) -> DataFrame:
-    rows = within(ledger.evm_tx, span).filter(is_contract_call())
     contract = F.col("to_address").alias("contract_address")
-    return _named(_usage(rows, [contract, *keys], "from_address", min_users), ledger, labels)
+    return _named(_usage(calls, [contract, *keys], "from_address", min_users), ledger, labels)
 
 
 def _leaderboard(usage: DataFrame, rank_by: str, k: int, tie_break: list[str]) -> DataFrame:
@@ -87,9 +86,8 @@ def _native_leaderboard(
     ledger: Ledger, rank_by: str, period: str, as_of: date | None, min_users: int, k: int
 ) -> DataFrame:
     span = Span(report_start(period, as_of or today()))
-    return _leaderboard(
-        _native_usage(ledger, span, min_users), rank_by, k, ["contract_name"]
-    )
+    events = within(ledger.native_event, span).filter(is_user_event())
+    return _leaderboard(_native_usage(events, min_users), rank_by, k, ["contract_name"])
 
 
 def _evm_leaderboard(
@@ -105,8 +103,9 @@ def _evm_leaderboard(
     start = report_start(period, as_of or today())
     if start is not None and compat_periods:
         start = report_start("last_3_months", as_of or today())
+    calls = within(ledger.evm_tx, Span(start)).filter(is_contract_call())
     return _leaderboard(
-        _evm_usage(ledger, Span(start), min_users, labels),
+        _evm_usage(calls, ledger, min_users, labels),
         rank_by,
         k,
         ["contract_name", "contract_address"],
@@ -177,32 +176,49 @@ def _week() -> Column:
     return Span(grain="week").bucket().alias("week_start")
 
 
-def _of_top_names(weekly: DataFrame, rank_by: str, since: date | None, k: int) -> DataFrame:
-    """All weeks of the ``k`` names with the best single week in the period.
+def _top_names(weekly: DataFrame, rank_by: str, k: int) -> DataFrame:
+    """The ``k`` names with the best single week, in column ``top_name``.
 
-    Weeks before the period are masked instead of filtered, so the ranking
-    shares the weekly aggregate with the rows it selects. Ties go to the better
-    other measure, then to the name. An unnamed contract can take a rank but
-    has no rows.
+    Ties go to the better other measure, then to the name. An unnamed contract
+    can take a rank but is not listed.
     """
     tie_break = _INTERACTIONS if rank_by == _USERS else _USERS
-    in_period = F.lit(True) if since is None else F.col("week_start") >= midnight(since)
     best = weekly.groupBy("contract_name").agg(
-        F.max(F.when(in_period, F.col(rank_by))).alias("best"),
-        F.max(F.when(in_period, F.col(tie_break))).alias("second"),
+        F.max(rank_by).alias("best"), F.max(tie_break).alias("second")
     )
-    top = (
-        best.filter(F.col("best").isNotNull())
-        .orderBy(
+    return (
+        best.orderBy(
             F.col("best").desc(), F.col("second").desc(), F.col("contract_name").asc_nulls_last()
         )
         .limit(k)
         .select(F.col("contract_name").alias("top_name"))
         .filter(F.col("top_name").isNotNull())
     )
-    # At most k rows, so the broadcast side has a fixed size.
-    named = F.col("contract_name").eqNullSafe(F.col("top_name"))
-    return weekly.join(F.broadcast(top), named, "left_semi")
+
+
+def _only(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
+    return df.join(names, F.col(column).eqNullSafe(F.col(names.columns[0])), "left_semi")
+
+
+def _weeks_from(since: date) -> Span:
+    """The whole weeks that start in a period."""
+    return Span(ceil_date(since, "week"))
+
+
+def _addresses_named(ledger: Ledger, labels: Mapping[str, str], names: DataFrame) -> DataFrame:
+    """Addresses that may be shown under one of ``names``.
+
+    Listed ones and those with a fixed label by that; an address without
+    either is shown as itself.
+    """
+    listed = ledger.evm_contract.select("address", "name")
+    shown = listed.select("address", label_of(F.col("name"), F.col("address"), labels).alias("shown"))
+    found = [_only(shown, "shown", names).select("address"), names.select("top_name")]
+    if labels:
+        known = names.filter(F.col("top_name").isin(*labels.values()))
+        pairs = F.explode(F.array(*(F.lit(a) for a in labels)))
+        found.append(known.select(pairs.alias("address")))
+    return stack(*(f.toDF("known_address") for f in found)).distinct()
 
 
 def _means() -> dict[str, Column]:
@@ -235,10 +251,17 @@ def _native_trends(
     ledger: Ledger, rank_by: str, period: str, as_of: date | None, min_users: int, k: int
 ) -> DataFrame:
     since = report_start(period, as_of or today())
-    weekly = _native_usage(ledger, Span(), min_users, _week()).withColumn(
+    events = ledger.native_event.filter(is_user_event())
+    if since is not None:
+        # Rank inside the period; only the winners' history is aggregated.
+        ranked = _native_usage(within(events, _weeks_from(since)), min_users, _week())
+        top = _top_names(ranked, rank_by, k)
+        events = _only(events, "event_contract", top)
+    weekly = _native_usage(events, min_users, _week()).withColumn(
         "ratio", per_user(F.col(_INTERACTIONS), F.col(_USERS))
     )
-    rows = _of_top_names(weekly, rank_by, since, k)
+    # For all of history, ranking and rows share one aggregate.
+    rows = weekly if since is not None else _only(weekly, "contract_name", _top_names(weekly, rank_by, k))
     # There is one row per name and week, so the windows stay small.
     by_name = ["contract_name"]
     rows = rows.withColumn("prev_week_users", previous(F.col(_USERS), "week_start", by_name))
@@ -257,10 +280,19 @@ def _evm_trends(
     labels: Mapping[str, str],
 ) -> DataFrame:
     since = report_start(period, as_of or today())
-    weekly = _evm_usage(ledger, Span(), min_users, labels, _week()).withColumn(
+    calls = ledger.evm_tx.filter(is_contract_call())
+    top = None
+    if since is not None:
+        # As for native contracts; several addresses can stand behind a name.
+        ranked = _evm_usage(
+            within(calls, _weeks_from(since)), ledger, min_users, labels, _week()
+        )
+        top = _top_names(ranked, rank_by, k)
+        calls = _only(calls, "to_address", _addresses_named(ledger, labels, top))
+    weekly = _evm_usage(calls, ledger, min_users, labels, _week()).withColumn(
         "ratio", per_user(F.col(_INTERACTIONS), F.col(_USERS))
     )
-    rows = _of_top_names(weekly, rank_by, since, k)
+    rows = _only(weekly, "contract_name", _top_names(weekly, rank_by, k) if top is None else top)
     # Many addresses can share a name, so neighbours are found by position.
     numbered = with_positions(rows, "contract_name", "week_start", "contract_address")
     trailing = trailing_by_position(

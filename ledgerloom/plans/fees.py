@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import constants as C
-from ledgerloom.functions.measures import non_zero, running, trailing_mean
+from ledgerloom.functions.measures import non_zero, running, trailing_quotient
 from ledgerloom.functions.periods import kpi_span, series_span, today, within
-from ledgerloom.operators.combining import stack
+from ledgerloom.operators.combining import having_key, stack
 from ledgerloom.sources.ledger import Ledger
 
 
@@ -18,10 +18,24 @@ def _is_fee(contract: str, event: str) -> Column:
     return (F.col("event_contract") == contract) & (F.col("event_type") == event)
 
 
+# Fees have eight decimals on the ledger. Sums of them are exact, so they do not
+# depend on the order of addition and equal ones are equal.
+_EXACT = "decimal(28,8)"
+
+
+def _exact(amount: str) -> Column:
+    return F.col(amount).cast(_EXACT)
+
+
+def _mean(fees: Column, rows: Column) -> Column:
+    return fees.cast("double") / non_zero(rows)
+
+
 def _paid(events: DataFrame, *keys) -> DataFrame:
     """Fee events summed per transaction before they meet the transactions."""
     return events.groupBy("tx_id", *keys).agg(
-        F.sum("event_amount").alias("amount"), F.count("event_amount").alias("payments")
+        F.sum(_exact("event_amount")).cast(_EXACT).alias("amount"),
+        F.count("event_amount").alias("payments"),
     )
 
 
@@ -36,9 +50,14 @@ def _fee_measures() -> tuple[Column, Column]:
     Both sides are pre-aggregated, so a joined pair stands for
     ``payments * copies`` rows that are never produced.
     """
-    fees = F.sum(F.col("amount") * F.col("copies"))
+    fees = F.sum((F.col("amount") * F.col("copies")).cast(_EXACT))
     rows = F.sum(F.col("payments") * F.col("copies"))
-    return fees.alias("fees"), (fees / non_zero(rows)).alias("mean")
+    return fees.alias("fees"), _mean(fees, rows).alias("mean")
+
+
+def _evm_measures() -> tuple[Column, Column]:
+    fees = F.sum(_exact("tx_fee"))
+    return fees.alias("fees"), _mean(fees, F.count("tx_fee")).alias("mean")
 
 
 def fees_over_time(
@@ -60,11 +79,11 @@ def fees_over_time(
     evm = (
         within(ledger.evm_tx, span)
         .groupBy(bucket)
-        .agg(F.sum("tx_fee").alias("fees"), F.avg("tx_fee").alias("mean"))
+        .agg(*_evm_measures())
     )
+    paid = _paid(within(ledger.native_event.filter(_is_fee(fee_contract, fee_event)), span), bucket)
     native = (
-        _paid(within(ledger.native_event.filter(_is_fee(fee_contract, fee_event)), span), bucket)
-        .join(_copies(ledger.partner("native_tx", span)), "tx_id")
+        paid.join(_copies(having_key(ledger.partner("native_tx", span), paid, "tx_id")), "tx_id")
         .groupBy("date")
         .agg(*_fee_measures())
     )
@@ -77,10 +96,10 @@ def fees_over_time(
     fees = F.col("flow_fees")
     return per_bucket.select(
         "date",
-        fees,
+        fees.cast("double").alias("flow_fees"),
         "avg_tx_flow_fee",
-        running(fees, "date").alias("total_flow_fees"),
-        trailing_mean(fees, "date").alias("avg_28d_flow_fees"),
+        running(fees, "date").cast("double").alias("total_flow_fees"),
+        trailing_quotient(fees, "date").alias("avg_28d_flow_fees"),
     ).orderBy(F.col("date").desc())
 
 
@@ -97,15 +116,13 @@ def total_fees_kpi(
     The period is that of the transactions, also for native fee events.
     """
     span = kpi_span(period, as_of or today(), ledger.genesis)
-    evm = within(ledger.evm_tx, span).agg(
-        F.sum("tx_fee").alias("fees"), F.avg("tx_fee").alias("mean")
-    )
+    evm = within(ledger.evm_tx, span).agg(*_evm_measures())
     events = ledger.partner("native_event", span).filter(_is_fee(fee_contract, fee_event))
+    copies = _copies(within(ledger.native_tx, span))
     native = (
-        _paid(events)
-        .join(_copies(within(ledger.native_tx, span)), "tx_id")
-        .agg(*_fee_measures())
+        _paid(having_key(events, copies, "tx_id")).join(copies, "tx_id").agg(*_fee_measures())
     )
     return stack(evm, native).agg(
-        F.sum("fees").alias("total_fees_flow"), F.avg("mean").alias("avg_tx_fee_flow")
+        F.sum("fees").cast("double").alias("total_fees_flow"),
+        F.avg("mean").alias("avg_tx_fee_flow"),
     )

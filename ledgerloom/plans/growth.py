@@ -15,18 +15,39 @@ from ledgerloom.functions.measures import (
     previous,
     trailing_mean,
 )
-from ledgerloom.functions.periods import Span, midnight, report_start, today
-from ledgerloom.operators.combining import align
+from ledgerloom.functions.periods import Span, ceil_date, midnight, report_start, today, within
+from ledgerloom.operators.combining import align, stack
 from ledgerloom.sources.ledger import Ledger
 
-def _by_week(df: DataFrame, rows: Column, *measures: Column) -> DataFrame:
-    week = Span(grain="week").bucket().alias("week")
-    return df.filter(rows).groupBy(week).agg(*measures)
+
+def _from_last_week_before(monday: date, *sides: DataFrame) -> list[DataFrame]:
+    """Each side from the last week before ``monday`` on that any side has rows in.
+
+    That week may be arbitrarily old. A maximum without a shuffle finds it, and
+    as a scalar subquery it bounds the scans of the distinct counts.
+    """
+    latest = stack(
+        *(
+            within(side, Span(None, monday)).agg(F.max("block_timestamp").alias("latest"))
+            for side in sides
+        )
+    ).agg(F.date_trunc("week", F.max("latest")).alias("week"))
+
+    def bounded(side: DataFrame) -> DataFrame:
+        since = F.coalesce(latest.scalar(), midnight(monday))
+        side = side.filter(F.col("block_timestamp") >= since)
+        if "block_date" in side.columns:
+            side = side.filter(F.col("block_date") >= since.cast("date"))
+        return side
+
+    return [bounded(side) for side in sides]
 
 
 def _growth(
     native: DataFrame,
+    native_measures: Sequence[Column],
     evm: DataFrame,
+    evm_measures: Sequence[Column],
     *,
     period: str,
     as_of: date | None,
@@ -41,7 +62,12 @@ def _growth(
     period; the means only see weeks of the period.
     """
     since = report_start(period, as_of or today())
-    weeks = align(native, evm, "week")
+    if since is not None:
+        native, evm = _from_last_week_before(ceil_date(since, "week"), native, evm)
+    week = Span(grain="week").bucket().alias("week")
+    weeks = align(
+        native.groupBy(week).agg(*native_measures), evm.groupBy(week).agg(*evm_measures), "week"
+    )
     for name, (left, right) in sums.items():
         weeks = weeks.withColumn(name, F.col(left) + F.col(right))
     total = F.col(growth_of)
@@ -61,18 +87,16 @@ def user_growth_weekly(
 ) -> DataFrame:
     """Weekly distinct users and contracts of each ledger, with user growth."""
     return _growth(
-        _by_week(
-            ledger.native_event,
-            is_user_event(),
+        ledger.native_event.filter(is_user_event()),
+        [
             F.countDistinct("event_from").alias("cadence_users"),
             F.countDistinct("event_contract").alias("cadence_contracts"),
-        ),
-        _by_week(
-            ledger.evm_tx,
-            is_contract_call(),
+        ],
+        ledger.evm_tx.filter(is_contract_call()),
+        [
             F.countDistinct("from_address").alias("evm_users"),
             F.countDistinct("to_address").alias("evm_contracts"),
-        ),
+        ],
         period=period,
         as_of=as_of,
         sums={"total_active_users": ("cadence_users", "evm_users")},
@@ -104,18 +128,16 @@ def invocation_growth_weekly(
     sender.
     """
     return _growth(
-        _by_week(
-            ledger.native_event,
-            F.col("tx_succeeded"),
+        ledger.native_event.filter(F.col("tx_succeeded")),
+        [
             F.count(F.lit(1)).alias("cadence_invocations"),
             F.countDistinct("event_contract").alias("unique_cadence_contracts"),
-        ),
-        _by_week(
-            ledger.evm_tx,
-            is_contract_call(),
+        ],
+        ledger.evm_tx.filter(is_contract_call()),
+        [
             F.count(F.lit(1)).alias("evm_invocations"),
             F.countDistinct("to_address").alias("unique_evm_contracts"),
-        ),
+        ],
         period=period,
         as_of=as_of,
         sums={
@@ -143,18 +165,16 @@ def transaction_growth_weekly(
 ) -> DataFrame:
     """Weekly user events and contract calls of each ledger, with growth."""
     return _growth(
-        _by_week(
-            ledger.native_event,
-            is_user_event(),
+        ledger.native_event.filter(is_user_event()),
+        [
             F.count(F.lit(1)).alias("cadence_transactions"),
             F.countDistinct("event_contract").alias("cadence_contracts"),
-        ),
-        _by_week(
-            ledger.evm_tx,
-            is_contract_call(),
+        ],
+        ledger.evm_tx.filter(is_contract_call()),
+        [
             F.count(F.lit(1)).alias("evm_transactions"),
             F.countDistinct("to_address").alias("evm_contracts"),
-        ),
+        ],
         period=period,
         as_of=as_of,
         sums={"total_transactions": ("cadence_transactions", "evm_transactions")},

@@ -12,7 +12,6 @@ from ledgerloom.functions.periods import Span, kpi_span, midnight, series_span,
 from ledgerloom.operators.accounts import all_accounts, evm_accounts, native_accounts
 from ledgerloom.operators.combining import having_key, merge_totals, stack
 from ledgerloom.operators.deployments import evm_deployments
-from ledgerloom.operators.ranking import first_seen
 from ledgerloom.sources.ledger import Ledger
 
 
@@ -65,21 +64,24 @@ def first_ever_accounts_kpi(
 ) -> DataFrame:
     """Accounts of the period that their ledger had never shown before it.
 
-    The period includes the midnight of ``as_of``. The earliest appearance
-    decides, so history is aggregated once instead of being joined.
+    The period includes the midnight of ``as_of``. History is reduced to the
+    accounts of the period before it is looked at.
     """
     as_of = as_of or today()
     start = kpi_span(period, as_of, ledger.genesis).start
     seen = F.col("block_timestamp")
-    history = Span(None, as_of + timedelta(days=1))
+    period_span, history = Span(start, as_of + timedelta(days=1)), Span(None, start)
     per_ledger = []
-    for accounts in (native_accounts(ledger, history, seen), evm_accounts(ledger, history, seen)):
-        known = accounts.filter((seen <= midnight(as_of)) & F.col("account").isNotNull())
-        per_ledger.append(
-            first_seen(known, "account", seen)
-            .filter(F.col("first_seen") >= midnight(start))
-            .agg(F.count("account").alias("n"))
+    for accounts in (native_accounts, evm_accounts):
+        recent = (
+            accounts(ledger, period_span, seen)
+            .filter((seen <= midnight(as_of)) & F.col("account").isNotNull())
+            .select("account")
+            .distinct()
         )
+        earlier = having_key(accounts(ledger, history), recent, "account").distinct()
+        new = recent.join(earlier, "account", "left_anti")
+        per_ledger.append(new.agg(F.count(F.lit(1)).alias("n")))
     return stack(*per_ledger).agg(F.sum("n").alias("total_new_accounts_last_24h"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import constants as C
 from ledgerloom.functions.periods import Span, today, within
+from ledgerloom.operators.combining import having_key
 from ledgerloom.sources.ledger import Ledger
 
 
@@ -17,18 +18,20 @@ def _lookback(as_of: date | None, weeks: int) -> Span:
     return Span((as_of or today()) - timedelta(weeks=weeks), None, "week")
 
 
-def _touched(ledger: Ledger, span: Span, excluded: Sequence[str]) -> DataFrame:
-    """Distinct contracts per native transaction; unnamed ones drop out.
+def _touched(
+    ledger: Ledger, span: Span, excluded: Sequence[str], transactions: DataFrame
+) -> DataFrame:
+    """Distinct contracts per transaction of ``transactions``; unnamed ones drop out.
 
-    Events of one transaction sit next to each other in storage, so most
-    repeats are gone before the shuffle.
+    Events are reduced to those transactions first, so only they are
+    de-duplicated, in the partitions of that join.
     """
-    return (
+    events = (
         ledger.partner("native_event", span)
         .filter(~F.col("event_contract").isin(*excluded))
         .select("tx_id", "event_contract")
-        .distinct()
     )
+    return having_key(events, transactions, "tx_id").distinct()
 
 
 def _above(df: DataFrame, measure: str, threshold: int, *tie_break: str) -> DataFrame:
@@ -53,7 +56,7 @@ def native_contracts_over_account_threshold(
         .distinct()
     )
     users = (
-        signers.join(_touched(ledger, span, excluded), "tx_id")
+        signers.join(_touched(ledger, span, excluded, signers), "tx_id")
         .groupBy("date", "event_contract")
         .agg(F.countDistinct("account").alias("unique_users"))
     )
@@ -75,7 +78,7 @@ def native_contracts_over_tx_threshold(
     )
     # Both sides are distinct, so every joined row is another transaction.
     counts = (
-        transactions.join(_touched(ledger, span, excluded), "tx_id")
+        transactions.join(_touched(ledger, span, excluded, transactions), "tx_id")
         .groupBy("date", "event_contract")
         .agg(F.count(F.lit(1)).alias("total_transactions"))
     )

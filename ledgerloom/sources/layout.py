@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_by_day(df: DataFrame, path: str, *, key: str, files_per_day: int = 8) -> None:
+def write_by_day(df: DataFrame, path: str, *, files_per_day: int) -> None:
     """Write a fact table partitioned by ``block_date``.
 
     Period filters then skip whole days (see ``functions.periods.within``). Rows
-    of one day are spread over ``files_per_day`` tasks by ``key``, so a day with
-    most of the rows is not written by a single task.
+    of one day are spread over ``files_per_day`` tasks by a hash of the whole
+    row, so neither a busy day nor a busy transaction is written by one task.
+    Choose it so that a day's rows divided by it fit a task, about a file of
+    some hundred megabytes each. Equal rows stay together.
     """
-    spread = F.pmod(F.xxhash64(F.col(key)), F.lit(files_per_day))
+    spread = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_day))
     (
         df.withColumn("block_date", F.to_date("block_timestamp"))
         .repartition(F.col("block_date"), spread)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom import constants as C
 from ledgerloom.functions.periods import Span, within
-from ledgerloom.sources.schemas import TABLES, parse_event_data
+from ledgerloom.sources.schemas import TABLES, checked
 
 
 class Ledger:
@@ -46,22 +46,19 @@ class Ledger:
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str, **options) -> "Ledger":
-        """Tables stored as ``<root>/<table>``, read with fixed schemas."""
-        return cls(
-            lambda name: spark.read.schema(TABLES[name]).parquet(f"{root}/{name}"), **options
-        )
+        """Tables stored as ``<root>/<table>``.
+
+        The files' own schema says whether ``event_data`` is still raw and
+        whether all columns are there (see :func:`~.schemas.checked`).
+        """
+        return cls(lambda name: checked(spark.read.parquet(f"{root}/{name}"), name), **options)
 
     @classmethod
     def from_catalog(
         cls, spark: SparkSession, names: Mapping[str, str], **options
     ) -> "Ledger":
         """Catalog tables, by table name; raw ``event_data`` is unpacked."""
-
-        def open_table(name: str) -> DataFrame:
-            df = spark.table(names[name])
-            return parse_event_data(df) if name == "native_event" else df
-
-        return cls(open_table, **options)
+        return cls(lambda name: checked(spark.table(names[name]), name), **options)
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._open:

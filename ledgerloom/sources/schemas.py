@@ -55,10 +55,31 @@ TABLES: dict[str, StructType] = {
     "market_chart": MARKET_CHART,
 }
 
+# Columns that a stored table may have besides; plans use them where they are.
+OPTIONAL: dict[str, dict] = {"evm_log": {"block_timestamp": _TIME}}
+
 # Tables that grow with the chain and carry a block time.
 FACT_TABLES = ("native_tx", "native_event", "native_actor", "evm_tx", "staking_action")
 
 
+def checked(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the columns of table ``name``, raw ``event_data`` unpacked.
+
+    Columns that are missing raise ``ValueError`` instead of turning to NULL.
+    Further columns stay only if they are known: optional ones and the
+    partition column ``block_date``.
+    """
+    if name == "native_event" and "event_data" in df.columns:
+        df = parse_event_data(df)
+    missing = [f.name for f in TABLES[name] if f.name not in df.columns]
+    if missing:
+        raise ValueError(f"table {name!r} lacks the columns {missing}")
+    further = [c for c in (*OPTIONAL.get(name, {}), "block_date") if c in df.columns]
+    return df.select(
+        *(F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name]), *further
+    )
+
+
 def parse_event_data(df: DataFrame) -> DataFrame:
     """Unpack ``event_data`` (VARIANT or JSON text) into typed columns.
 

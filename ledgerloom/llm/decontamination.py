@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, small, stored
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPAN = 10
 
 
 def words(text: Column) -> Column:
     """Runs of digits, letters a-z and characters beyond ASCII, with A-Z lower-cased; null: none."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
 def tokenised(docs: DataFrame) -> DataFrame:

@@ -43,6 +43,22 @@ def marker_logs(ledger: Ledger, span: Span, topic: str = C.OWNERSHIP_TOPIC) -> D
     )
 
 
+def _marked_hashes(markers: DataFrame) -> DataFrame:
+    """One row per marked hash.
+
+    Counting keeps the marker set itself below it, so that its readers share
+    one scan and one shuffle. The second, derived key makes joins shuffle this
+    side themselves: adaptive execution can only split a hot hash where both
+    sides of a join come straight from a shuffle.
+    """
+    return (
+        markers.groupBy("tx_hash", F.length("tx_hash").alias("width"))
+        .agg(F.count(F.lit(1)).alias("contracts"))
+        .filter("contracts > 0")
+        .select("tx_hash")
+    )
+
+
 def _announced(ledger: Ledger, span: Span, markers: DataFrame, *columns: Column) -> DataFrame:
     """Marker contracts with the columns of their transactions.
 
@@ -50,7 +66,8 @@ def _announced(ledger: Ledger, span: Span, markers: DataFrame, *columns: Column)
     does each meet its contracts.
     """
     rows = within(ledger.evm_tx, span).select("tx_hash", *columns)
-    return having_key(rows, markers, "tx_hash").distinct().join(markers, "tx_hash")
+    marked = rows.join(_marked_hashes(markers), "tx_hash", "left_semi")
+    return marked.distinct().join(markers, "tx_hash")
 
 
 def _constructors(
@@ -83,7 +100,7 @@ def evm_deployments(
     columns = span.bucket().alias("bucket"), F.col("from_address").alias("creator")
     announced = _announced(ledger, span, markers, *columns)
     constructors = _constructors(ledger, span, signatures, *columns)
-    alone = constructors.join(markers.select("tx_hash").distinct(), "tx_hash", "left_anti")
+    alone = constructors.join(_marked_hashes(markers), "tx_hash", "left_anti")
     return (
         announced.select("bucket", "creator", "contract")
         .union(alone.select("bucket", "creator", "tx_hash"))

@@ -19,7 +19,6 @@ from ledgerloom.functions.measures import (
     trailing_mean,
 )
 from ledgerloom.functions.periods import Span, ceil_date, report_start, today, within
-from ledgerloom.operators.combining import stack
 from ledgerloom.operators.ranking import top_rows
 from ledgerloom.operators.sequences import trailing_by_position, with_positions
 from ledgerloom.sources.ledger import Ledger
@@ -211,14 +210,16 @@ def _addresses_named(ledger: Ledger, labels: Mapping[str, str], names: DataFrame
     Listed ones and those with a fixed label by that; an address without
     either is shown as itself.
     """
-    listed = ledger.evm_contract.select("address", "name")
-    shown = listed.select("address", label_of(F.col("name"), F.col("address"), labels).alias("shown"))
-    found = [_only(shown, "shown", names).select("address"), names.select("top_name")]
+    address = F.col("address")
+    shown = ledger.evm_contract.select(
+        address, label_of(F.col("name"), address, labels).alias("shown")
+    )
     if labels:
-        known = names.filter(F.col("top_name").isin(*labels.values()))
-        pairs = F.explode(F.array(*(F.lit(a) for a in labels)))
-        found.append(known.select(pairs.alias("address")))
-    return stack(*(f.toDF("known_address") for f in found)).distinct()
+        fixed = shown.sparkSession.createDataFrame(list(labels.items()), shown.schema)
+        shown = shown.union(fixed)
+    behind = names.join(shown, F.col("top_name") == F.col("shown"), "left")
+    either = F.explode(F.array("top_name", "address"))
+    return behind.select(either.alias("known_address")).distinct()
 
 
 def _means() -> dict[str, Column]:

@@ -31,10 +31,10 @@ def _from_last_week_before(monday: date, *sides: DataFrame) -> list[DataFrame]:
             within(side, Span(None, monday)).agg(F.max("block_timestamp").alias("latest"))
             for side in sides
         )
-    ).agg(F.date_trunc("week", F.max("latest")).alias("week"))
+    ).agg(F.coalesce(F.date_trunc("week", F.max("latest")), midnight(monday)).alias("week"))
 
     def bounded(side: DataFrame) -> DataFrame:
-        since = F.coalesce(latest.scalar(), midnight(monday))
+        since = latest.scalar()
         side = side.filter(F.col("block_timestamp") >= since)
         if "block_date" in side.columns:
             side = side.filter(F.col("block_date") >= since.cast("date"))

@@ -693,9 +693,9 @@ def market_snapshot_kpi(w: World, period: str, days: int = 30) -> str:
           SELECT c.date, avg(c.market_cap) AS cap, avg(p.price) AS price, avg(v.volume) AS volume
           FROM recent c, recent p, recent v WHERE c.date < {w.now} GROUP BY c.date
         ), flagged AS (SELECT *, date >= {w.now} - 1 AS fresh FROM daily)
-        SELECT '{C.TOKEN}' AS token, round(max(if(fresh, cap, 0)), 2) AS market_cap,
-               round(avg(price) FILTER (fresh), 1) AS price,
-               round(avg(if(fresh, volume, 0)), 4) AS volume,
+        SELECT '{C.TOKEN}' AS token, round(max(if(fresh, cap, 0)), 6) AS market_cap,
+               round(avg(price) FILTER (fresh), 6) AS price,
+               round(avg(if(fresh, volume, 0)), 6) AS volume,
                round(max(cap * price), 0) AS total_supply
         FROM flagged""",
     )

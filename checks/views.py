@@ -13,6 +13,8 @@ addition.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from datetime import date
 from functools import cache
 
@@ -21,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom import constants as C
 from ledgerloom.session import configure
 from ledgerloom.sources import Ledger
+from ledgerloom.sources.market import read_market_chart
+from ledgerloom.sources.schemas import checked
 
 DRIVER_SCHEMAS = {
     "orders": (
@@ -159,9 +163,37 @@ CLICK_VIEWS = {
         FROM {events}""",
 }
 
+# The chain with calls of unlisted contracts that only have a fixed label.
+_LABELLED = dict(enumerate(C.LABELS_WELL_KNOWN))
+_TARGET = "'0xc' || CAST(l_partkey % 40 AS STRING)"
+LABELLED_VIEWS = CHAIN_VIEWS | {
+    "evm_tx": CHAIN_VIEWS["evm_tx"].replace(
+        _TARGET,
+        "CASE l_partkey % 40 "
+        + " ".join(f"WHEN {i} THEN '{address}'" for i, address in _LABELLED.items())
+        + f" ELSE {_TARGET} END",
+    )
+}
+assert LABELLED_VIEWS["evm_tx"] != CHAIN_VIEWS["evm_tx"]
+
+# Events of the chain with sender and amount still inside JSON text: present, explicit null or
+# missing. The statements for DuckDB keep the typed columns.
+RAW_EVENTS = """
+    SELECT tx_id, block_timestamp, tx_succeeded, event_contract, event_type,
+           CASE WHEN event_from IS NOT NULL
+                THEN concat(chr(123), '"from": "', event_from, '", "amount": ', event_amount, chr(125))
+                WHEN tx_succeeded THEN concat(chr(123), '"from": null, "amount": ', event_amount, chr(125))
+                ELSE concat(chr(123), '"amount": ', event_amount, chr(125)) END AS event_data
+    FROM {events}"""
+
 WORLDS = {
     "chain": (CHAIN_VIEWS, date(2001, 8, 1), date(1995, 1, 1)),
+    "labelled": (LABELLED_VIEWS, date(2001, 8, 1), date(1995, 1, 1)),
+    "raw": (CHAIN_VIEWS, date(2001, 8, 1), date(1995, 1, 1)),
+    "json": (CHAIN_VIEWS, date(2001, 8, 1), date(1995, 1, 1)),
     "clicks": (CLICK_VIEWS, date(2024, 1, 31), date(2020, 1, 1)),
+    # On a Monday, the last day lies before the current week.
+    "monday": (CLICK_VIEWS, date(2024, 1, 29), date(2020, 1, 1)),
 }
 
 
@@ -187,6 +219,15 @@ def _market_chart(quotes: DataFrame) -> DataFrame:
     )
 
 
+def _as_snapshot(chart: DataFrame) -> DataFrame:
+    """The chart written as a JSON document and read as a snapshot."""
+    spark = chart.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    path = f"{folder}/market-chart-{uuid.uuid4().hex}"
+    chart.write.json(path)
+    return read_market_chart(spark, path)
+
+
 def spark_ledger(spark: SparkSession, sf_dir: str, world: str = "chain", **options) -> Ledger:
     """The views over the Parquet files in ``sf_dir``, as a ledger."""
     configure(spark)
@@ -202,6 +243,11 @@ def spark_ledger(spark: SparkSession, sf_dir: str, world: str = "chain", **optio
         return spark.sql(text.replace("LIST(", "array("), **used)
 
     def opener(name: str) -> DataFrame:
-        return _market_chart(view("quotes")) if name == "market_chart" else view(name)
+        if name == "market_chart":
+            chart = _market_chart(view("quotes"))
+            return _as_snapshot(chart) if world == "json" else chart
+        if name == "native_event" and world == "raw":
+            return checked(spark.sql(RAW_EVENTS, events=view(name)), name)
+        return view(name)
 
     return Ledger(opener, genesis=genesis, **options)

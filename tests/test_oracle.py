@@ -51,4 +51,5 @@ def test_entry_points(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(CHECKS) <= set(entry.oracle_sql())

@@ -2,6 +2,7 @@ import json
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from checks.compare import difference, spark_rows
 from checks.views import spark_ledger
@@ -86,3 +87,28 @@ def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         for name in names:
             spark.sql(f"DROP TABLE bucketed_{name}")
+
+
+def test_parquet_with_raw_event_data_is_parsed(spark, tmp_path):
+    rows = [
+        ("t", True, "A.x", "Deposit", '{"from": "a", "amount": 1.5}'),
+        ("t", True, "A.x", "Deposit", '{"from": null, "amount": 2}'),
+        ("t", True, "A.x", "Deposit", '{"amount": "3"}'),
+    ]
+    columns = "tx_id string, tx_succeeded boolean, event_contract string, event_type string, event_data string"
+    raw = spark.createDataFrame(rows, columns).withColumn("block_timestamp", F.current_timestamp())
+    raw.write.parquet(f"{tmp_path}/native_event")
+    ledger = Ledger.from_parquet(spark, str(tmp_path))
+    found = {(r.event_from, r.event_amount) for r in ledger.native_event.collect()}
+    assert found == {("a", 1.5), (None, 2.0), (None, 3.0)}
+
+
+@pytest.mark.parametrize("dropped", ["event_data", "tx_id"])
+def test_missing_columns_raise(spark, tmp_path, dropped):
+    raw = spark.range(1).selectExpr(
+        "'t' as tx_id", "current_timestamp() as block_timestamp", "true as tx_succeeded",
+        "'c' as event_contract", "'e' as event_type", "'{}' as event_data",
+    )
+    raw.drop(dropped).write.parquet(f"{tmp_path}/native_event")
+    with pytest.raises(ValueError, match="lacks the columns"):
+        Ledger.from_parquet(spark, str(tmp_path)).native_event

@@ -1,8 +1,9 @@
 """Fixed values.
 
 Everything in this module is data that results depend on: event names,
-addresses, labels and thresholds of the two ledgers. They are defaults; every
-metric takes them as arguments.
+addresses, labels and thresholds of the two ledgers. Event names, addresses,
+signatures, categories, actions, name labels and thresholds are defaults of the
+metrics' arguments; the ledger and source labels in results are fixed.
 """
 
 from __future__ import annotations

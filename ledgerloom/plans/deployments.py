@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -43,6 +44,8 @@ def contract_deployments_split(
     period: str = "last_year",
     as_of: date | None = None,
     coa_prefix: str = C.COA_PREFIX,
+    topic: str = C.OWNERSHIP_TOPIC,
+    signatures: Sequence[str] = C.CONSTRUCTOR_SIGNATURES,
 ) -> DataFrame:
     """New contracts per bucket: native, EVM by COA creators, EVM by others.
 
@@ -58,7 +61,7 @@ def contract_deployments_split(
     )
     contract = F.col("contract")
     evm = (
-        evm_deployments(ledger, span)
+        evm_deployments(ledger, span, topic=topic, signatures=signatures)
         .select(F.col("bucket").alias("day"), _is_coa(coa_prefix).alias("coa"), "contract")
         .distinct()
         .groupBy("day")
@@ -88,7 +91,12 @@ def contract_deployments_split(
 
 
 def active_contracts_by_ledger(
-    ledger: Ledger, *, period: str = "last_year", as_of: date | None = None
+    ledger: Ledger,
+    *,
+    period: str = "last_year",
+    as_of: date | None = None,
+    topic: str = C.OWNERSHIP_TOPIC,
+    signatures: Sequence[str] = C.CONSTRUCTOR_SIGNATURES,
 ) -> DataFrame:
     """Contracts active per bucket, one row per ledger, with running sums.
 
@@ -99,7 +107,7 @@ def active_contracts_by_ledger(
         "day", F.lit(C.NATIVE_LABEL).alias("type"), F.col("native").alias("new_contracts")
     )
     evm = (
-        evm_deployments(ledger, span)
+        evm_deployments(ledger, span, topic=topic, signatures=signatures)
         .groupBy(F.col("bucket").alias("day"), F.lit(C.EVM_LABEL).alias("type"))
         .agg(F.countDistinct("contract").alias("new_contracts"))
     )
@@ -112,7 +120,12 @@ def active_contracts_by_ledger(
 
 
 def contract_counts_over_time(
-    ledger: Ledger, *, period: str = "last_year", as_of: date | None = None
+    ledger: Ledger,
+    *,
+    period: str = "last_year",
+    as_of: date | None = None,
+    topic: str = C.OWNERSHIP_TOPIC,
+    signatures: Sequence[str] = C.CONSTRUCTOR_SIGNATURES,
 ) -> DataFrame:
     """Contracts per bucket on each ledger, one column per ledger.
 
@@ -121,7 +134,7 @@ def contract_counts_over_time(
     """
     span = series_span(period, as_of or today(), ledger.genesis)
     evm = (
-        evm_contracts_or_transactions(ledger, span)
+        evm_contracts_or_transactions(ledger, span, topic=topic, signatures=signatures)
         .groupBy(F.col("bucket").alias("day"))
         .agg(F.countDistinct("contract").alias("evm"))
     )
@@ -149,6 +162,8 @@ def deployers_over_time(
     period: str = "last_year",
     as_of: date | None = None,
     event_type: str = C.CONTRACT_ADDED_EVENT,
+    topic: str = C.OWNERSHIP_TOPIC,
+    signatures: Sequence[str] = C.CONSTRUCTOR_SIGNATURES,
 ) -> DataFrame:
     """Distinct deployers per bucket; a deployer counts in each active bucket."""
     span = series_span(period, as_of or today(), ledger.genesis)
@@ -167,7 +182,7 @@ def deployers_over_time(
         .agg(F.countDistinct("deployer").alias("native"))
     )
     evm = (
-        evm_deployments(ledger, span)
+        evm_deployments(ledger, span, topic=topic, signatures=signatures)
         .groupBy(F.col("bucket").alias("day"))
         .agg(F.countDistinct("creator").alias("evm"))
     )
@@ -202,10 +217,17 @@ def weekly_native_contracts(
     )
 
 
-def _weekly_evm_contracts(ledger: Ledger, as_of: date | None, months: int, who: Column):
+def _weekly_evm_contracts(
+    ledger: Ledger,
+    as_of: date | None,
+    months: int,
+    who: Column,
+    topic: str,
+    signatures: Sequence[str],
+) -> DataFrame:
     span = Span(months_before(as_of or today(), months), None, "week")
     return (
-        evm_deployments(ledger, span)
+        evm_deployments(ledger, span, topic=topic, signatures=signatures)
         .filter(who)
         .groupBy(F.col("bucket").alias("date"))
         .agg(F.count("contract").alias("new_contracts"))
@@ -219,9 +241,13 @@ def weekly_evm_contracts_coa(
     as_of: date | None = None,
     months: int = 12,
     coa_prefix: str = C.COA_PREFIX,
+    topic: str = C.OWNERSHIP_TOPIC,
+    signatures: Sequence[str] = C.CONSTRUCTOR_SIGNATURES,
 ) -> DataFrame:
     """(contract, creator) pairs deployed per week by COA creators."""
-    return _weekly_evm_contracts(ledger, as_of, months, _is_coa(coa_prefix))
+    return _weekly_evm_contracts(
+        ledger, as_of, months, _is_coa(coa_prefix), topic, signatures
+    )
 
 
 def weekly_evm_contracts_non_coa(
@@ -230,9 +256,13 @@ def weekly_evm_contracts_non_coa(
     as_of: date | None = None,
     months: int = 12,
     coa_prefix: str = C.COA_PREFIX,
+    topic: str = C.OWNERSHIP_TOPIC,
+    signatures: Sequence[str] = C.CONSTRUCTOR_SIGNATURES,
 ) -> DataFrame:
     """(contract, creator) pairs deployed per week by other creators."""
-    return _weekly_evm_contracts(ledger, as_of, months, ~_is_coa(coa_prefix))
+    return _weekly_evm_contracts(
+        ledger, as_of, months, ~_is_coa(coa_prefix), topic, signatures
+    )
 
 
 def contract_debuts_by_source(
@@ -240,6 +270,8 @@ def contract_debuts_by_source(
     *,
     debut_range: tuple[date, date] = C.DEBUT_RANGE,
     coa_prefix: str = C.COA_PREFIX,
+    topic: str = C.OWNERSHIP_TOPIC,
+    signatures: Sequence[str] = C.CONSTRUCTOR_SIGNATURES,
 ) -> DataFrame:
     """Contracts by the week of their debut over all history, per source.
 
@@ -257,7 +289,7 @@ def contract_debuts_by_source(
         F.col("event_contract").alias("contract"),
     )
     evm = (
-        evm_deployments(ledger, week)
+        evm_deployments(ledger, week, topic=topic, signatures=signatures)
         .groupBy("contract", "creator")
         .agg(F.min("bucket").alias("date"))
         .select(

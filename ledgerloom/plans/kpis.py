@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
@@ -114,7 +115,12 @@ def native_deployers_by_actor_kpi(
 
 
 def contract_deployments_kpi(
-    ledger: Ledger, *, period: str = "last_24h", as_of: date | None = None
+    ledger: Ledger,
+    *,
+    period: str = "last_24h",
+    as_of: date | None = None,
+    topic: str = C.OWNERSHIP_TOPIC,
+    signatures: Sequence[str] = C.CONSTRUCTOR_SIGNATURES,
 ) -> DataFrame:
     """Distinct native contracts with events and distinct EVM deployments."""
     span = kpi_span(period, as_of or today(), ledger.genesis)
@@ -122,7 +128,7 @@ def contract_deployments_kpi(
         within(ledger.native_event, span).agg(
             F.countDistinct("event_contract").alias("total_new_cadence_contracts")
         ),
-        evm_deployments(ledger, span).agg(
+        evm_deployments(ledger, span, topic=topic, signatures=signatures).agg(
             F.countDistinct("contract").alias("total_new_evm_contracts")
         ),
     )

@@ -6,6 +6,7 @@ day; only the staking and TVL tables are large, and they are aggregated first.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,9 @@ from ledgerloom.sources.ledger import Ledger
 from ledgerloom.sources.market import SERIES, market_points
 
 
-def _locked_value(ledger: Ledger, chain_pattern: str) -> DataFrame:
+def _locked_value(
+    ledger: Ledger, chain_pattern: str, staking: str, liquid: str, locked: Sequence[str]
+) -> DataFrame:
     """Locked value per day, split into staked, liquid and otherwise locked."""
     category, value = F.col("category"), F.col("chain_tvl")
 
@@ -29,20 +32,22 @@ def _locked_value(ledger: Ledger, chain_pattern: str) -> DataFrame:
         ledger.protocol_tvl.filter(F.col("chain").ilike(chain_pattern))
         .groupBy("date")
         .agg(
-            part(category == C.STAKING_CATEGORY).alias("tvl_staked"),
-            part(category == C.LIQUID_CATEGORY).alias("liquid_supply"),
-            part(category.isin(*C.LOCKED_CATEGORIES)).alias("non_staked_locked"),
+            part(category == staking).alias("tvl_staked"),
+            part(category == liquid).alias("liquid_supply"),
+            part(category.isin(*locked)).alias("non_staked_locked"),
         )
     )
 
 
-def _staked_volume(ledger: Ledger, baseline: float) -> DataFrame:
+def _staked_volume(
+    ledger: Ledger, baseline: float, stake: Sequence[str], unstake: Sequence[str]
+) -> DataFrame:
     """Running net stake per day on top of ``baseline``.
 
     Only days with a stake action exist; withdrawals of other days are lost.
     """
     action, amount = F.col("action"), F.col("amount")
-    staking, unstaking = action.isin(*C.STAKE_ACTIONS), action.isin(*C.UNSTAKE_ACTIONS)
+    staking, unstaking = action.isin(*stake), action.isin(*unstake)
     daily = (
         ledger.staking_action.filter(staking | unstaking)
         .groupBy(F.to_date("block_timestamp").alias("date"))
@@ -58,11 +63,10 @@ def _staked_volume(ledger: Ledger, baseline: float) -> DataFrame:
     return daily.select("date", (running(net, "date") + F.lit(baseline)).alias("staked_volume"))
 
 
-def _locked_and_staked(ledger: Ledger, chain_pattern: str, baseline: float) -> DataFrame:
+def _locked_and_staked(locked: DataFrame, staked: DataFrame) -> DataFrame:
     """Daily locked amounts, keyed by the midnight of the day."""
     return (
-        _locked_value(ledger, chain_pattern)
-        .join(_staked_volume(ledger, baseline), "date")
+        locked.join(staked, "date")
         .select(
             F.col("date").cast("timestamp").alias("date"),
             (F.col("tvl_staked") + F.col("staked_volume")).alias("staked_locked"),
@@ -80,6 +84,11 @@ def supply_breakdown_over_time(
     token: str = C.TOKEN,
     chain_pattern: str = C.CHAIN_PATTERN,
     locked_baseline: float = C.LOCKED_BASELINE,
+    staking_category: str = C.STAKING_CATEGORY,
+    liquid_category: str = C.LIQUID_CATEGORY,
+    locked_categories: Sequence[str] = C.LOCKED_CATEGORIES,
+    stake_actions: Sequence[str] = C.STAKE_ACTIONS,
+    unstake_actions: Sequence[str] = C.UNSTAKE_ACTIONS,
 ) -> DataFrame:
     """Daily token supply by where it is held.
 
@@ -103,8 +112,12 @@ def supply_breakdown_over_time(
     )
     total = F.col("total_supply")
     unstaked = total - (F.col("staked_locked") + F.col("liquid_supply") + F.col("non_staked_locked"))
+    held = _locked_and_staked(
+        _locked_value(ledger, chain_pattern, staking_category, liquid_category, locked_categories),
+        _staked_volume(ledger, locked_baseline, stake_actions, unstake_actions),
+    )
     return (
-        supply.join(_locked_and_staked(ledger, chain_pattern, locked_baseline), "date")
+        supply.join(held, "date")
         .select(
             "date",
             F.lit(token).alias("token"),
@@ -126,6 +139,11 @@ def staked_locked_kpi(
     days: int = 180,
     chain_pattern: str = C.CHAIN_PATTERN,
     locked_baseline: float = C.LOCKED_BASELINE,
+    staking_category: str = C.STAKING_CATEGORY,
+    liquid_category: str = C.LIQUID_CATEGORY,
+    locked_categories: Sequence[str] = C.LOCKED_CATEGORIES,
+    stake_actions: Sequence[str] = C.STAKE_ACTIONS,
+    unstake_actions: Sequence[str] = C.UNSTAKE_ACTIONS,
 ) -> DataFrame:
     """Staked and locked amount of the day before ``as_of``.
 
@@ -143,7 +161,10 @@ def staked_locked_kpi(
         )
         .filter(F.col("found") == len(SERIES))
     )
-    locked = _locked_and_staked(ledger, chain_pattern, locked_baseline)
+    locked = _locked_and_staked(
+        _locked_value(ledger, chain_pattern, staking_category, liquid_category, locked_categories),
+        _staked_volume(ledger, locked_baseline, stake_actions, unstake_actions),
+    )
     return (
         locked.filter(F.col("date") == day)
         .join(quoted, "date", "left_semi")

@@ -20,7 +20,8 @@ def _is_fee(contract: str, event: str) -> Column:
 
 # Fees have eight decimals on the ledger. Sums of them are exact, so they do not
 # depend on the order of addition and equal ones are equal.
-_EXACT = "decimal(28,8)"
+# The product with a number of copies has 38 digits, all of which Spark keeps.
+_EXACT, _COPIES = "decimal(24,8)", "decimal(13,0)"
 
 
 def _exact(amount: str) -> Column:
@@ -50,7 +51,7 @@ def _fee_measures() -> tuple[Column, Column]:
     Both sides are pre-aggregated, so a joined pair stands for
     ``payments * copies`` rows that are never produced.
     """
-    fees = F.sum((F.col("amount") * F.col("copies")).cast(_EXACT))
+    fees = F.sum(F.col("amount") * F.col("copies").cast(_COPIES))
     rows = F.sum(F.col("payments") * F.col("copies"))
     return fees.alias("fees"), _mean(fees, rows).alias("mean")
 

@@ -520,3 +520,45 @@ def test_supply_needs_all_three_quotes_and_respects_the_lookback(ledger_of):
     ledger = _chart_ledger(ledger_of, quotes, quotes, quotes[:1], **_supply_tables())
     assert [r["date"].day for r in run("supply_breakdown_over_time", ledger, as_of=AS_OF)] == [13]
     assert run("supply_breakdown_over_time", ledger, as_of=AS_OF, days=2) == []
+
+
+def test_growth_reaches_over_a_long_gap_before_the_period(ledger_of):
+    """The week before the period may be months old, and from the other ledger."""
+    event = {"tx_succeeded": True, "event_contract": "A.x", "event_type": "Deposit"}
+    call = {"tx_succeeded": True, "to_address": "0xc", "input_data": "0x12"}
+    ledger = ledger_of(
+        native_event=[
+            event | {"tx_id": f"n{i}", "event_from": f"u{i}", "block_timestamp": at("2024-05-07")}
+            for i in range(6)
+        ]
+        + [event | {"tx_id": "old", "event_from": "u", "block_timestamp": at("2023-11-01")}],
+        evm_tx=[
+            call | {"tx_hash": f"e{i}", "from_address": f"v{i}", "block_timestamp": at("2024-01-03")}
+            for i in range(4)
+        ],
+    )
+    rows = rows_of(METRICS["user_growth_weekly"](ledger, period="last_month", as_of=date(2024, 5, 20)))
+    assert [(r["week"], r["total_active_users"], r["wow_growth_pct"]) for r in rows] == [
+        (at("2024-05-06"), 6, 50.0)
+    ]
+    nothing_before = ledger_of(native_event=[event | {"tx_id": "n", "event_from": "u", "block_timestamp": at("2024-05-07")}])
+    (row,) = rows_of(METRICS["user_growth_weekly"](nothing_before, period="last_month", as_of=date(2024, 5, 20)))
+    assert (row["total_active_users"], row["wow_growth_pct"]) == (1, None)
+
+
+def test_fees_with_fractions_do_not_depend_on_order(ledger_of):
+    """Equal fees of both ledgers count once, however they add up."""
+    parts = [0.1, 0.2, 0.3, 1e-8, 123456.78901234]
+    day = at("2024-05-07")
+    for order in (parts, parts[::-1]):
+        ledger = ledger_of(
+            evm_tx=[{"tx_hash": f"e{i}", "block_timestamp": day, "tx_fee": x} for i, x in enumerate(order)],
+            native_tx=[{"tx_id": f"n{i}", "block_timestamp": day} for i in range(5)],
+            native_event=[
+                {"tx_id": f"n{i}", "block_timestamp": day, "event_contract": C.FEE_CONTRACT,
+                 "event_type": C.FEE_EVENT, "event_amount": x}
+                for i, x in enumerate(parts)
+            ],
+        )
+        (row,) = rows_of(METRICS["fees_over_time"](ledger, period="last_year", as_of=date(2024, 5, 20)))
+        assert row["flow_fees"] == 123457.38901235

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,6 +77,13 @@ def unit_hash(key: Column) -> Column:
     return F.conv(digits, 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
+def portions(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in portions of ``rows`` rows, which bound what a task's Python holds at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def positions(
     df: DataFrame, group: list[str], spread: str, order: list[str], slices: int, into: str
 ) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import portions, small, stored
 
 # Bounds of the model.
 SAMPLE = 20_000
@@ -96,7 +96,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> D
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches, 64):
         found = [sorted(features(text.as_py())) for text in batch.column(0)]
         yield pa.RecordBatch.from_arrays(
             [pa.array(found, pa.list_(pa.string())), batch.column(1)], names=["found", "toxic"]
@@ -163,7 +163,7 @@ def collect_votes(sample: DataFrame, picked: list[str]) -> Votes:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = names.value
-        for batch in batches:
+        for batch in portions(batches):
             found = [sorted(known[f] for f in row.as_py() if f in known) for row in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found, pa.list_(pa.int32())), batch.column(1)], names=["columns", "toxic"]
@@ -295,7 +295,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scored = known.value.score
-        for batch in batches:
+        for batch in portions(batches):
             found = np.array([scored(text.as_py()) for text in batch.column(1)], dtype=np.float64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(found), pa.array((found >= 0.5).astype(np.int32))],
@@ -321,7 +321,7 @@ def clean_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scored = known.value.score
-        for batch in batches:
+        for batch in portions(batches):
             texts = batch.column("text")
             yield batch.filter(pa.array([scored(t.as_py() or "") < 0.5 for t in texts], pa.bool_()))
 

@@ -183,7 +183,11 @@ def exact_dedup(
         F.struct("doc_id", "row"),
         F.struct(-F.col("n_points"), F.col("doc_id").isNull(), "doc_id", "row"),
     )
-    groups = rest.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+    # Stored, so that the join starts from two shuffles and a hot digest can be split there.
+    groups = stored(
+        rest.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")),
+        "groups",
+    )
     grouped = rest.join(groups, "digest").select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),

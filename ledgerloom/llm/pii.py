@@ -235,14 +235,14 @@ class Name:
         return GENDER[self.title], script_of(self.parts[0])
 
 
-def _name(key: bytes, entity: str, turn: int = 0) -> str:
+def _name(key: bytes, entity: str, turn: int = 0, syllables: int = SYLLABLES) -> str:
     """Title and gap stay; the given name is one of the title's gender, the family name made up."""
     name = Name.parse(entity)
     gender, script = name.kind()
     number = _number(key, "name", name.normal(), gender, script, str(turn))
     consonants, vowels = SOUNDS[script]
     family = ""
-    for _ in range(SYLLABLES):
+    for _ in range(syllables):
         number, rest = divmod(number, len(consonants) * len(vowels))
         family += consonants[rest // len(vowels)] + vowels[rest % len(vowels)]
     parts = [family.capitalize()]
@@ -265,9 +265,11 @@ def normal_form(kind: str, entity: str) -> str:
     return re.sub(r"[^\d+.]" if kind == "ip" else r"[^\d+]", "", entity)
 
 
-def surrogate(key: bytes, kind: str, entity: str, turn: int = 0) -> str:
+def surrogate(
+    key: bytes, kind: str, entity: str, turn: int = 0, syllables: int = SYLLABLES
+) -> str:
     if kind == "name":
-        return _name(key, entity, turn)
+        return _name(key, entity, turn, syllables)
     if kind == "email":
         return _email(key, entity, turn)
     return MAKERS[kind](key, entity)
@@ -291,7 +293,9 @@ def replaced(text: str, key: bytes, turns: dict[tuple[str, str], int]) -> tuple[
     return "".join([*out, text[at:]]), spans
 
 
-def collisions(docs: DataFrame, key: bytes = KEY) -> dict[tuple[str, str], int]:
+def collisions(
+    docs: DataFrame, key: bytes = KEY, syllables: int = SYLLABLES
+) -> dict[tuple[str, str], int]:
     """Which entities must draw again, and how often, so that no two of a kind share a surrogate."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +306,7 @@ def collisions(docs: DataFrame, key: bytes = KEY) -> dict[tuple[str, str], int]:
                 for _, _, kind, entity in entities(text.as_py() or "")
                 if kind in DRAWN
             }
-            rows = sorted({(k, n, normal_form(k, surrogate(key, k, e))) for k, n, e in found})
+            rows = sorted({(k, n, normal_form(k, surrogate(key, k, e, 0, syllables))) for k, n, e in found})
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], pa.string()) for i in range(3)],
                 names=["kind", "normal", "drawn"],

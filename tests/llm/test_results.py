@@ -307,6 +307,52 @@ def test_near_dedup_is_brute_force(documents, texts):
     assert kept == sorted(set(roots_of(ids, links).values()))
 
 
+def kept_by_force(rows):
+    """The smallest id of each group that links of five-word shingles join."""
+    sets = {d: {tuple(x) for x in near_dedup.shingle_set(t.encode(), 5).tolist()} for d, t in rows}
+    ids = sorted(sets)
+    links = [
+        (a, b) for i, a in enumerate(ids) for b in ids[i + 1 :]
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    ]
+    return sorted(set(roots_of(ids, links).values())), links
+
+
+def test_near_dedup_finds_contiguous_edits(docs_of):
+    random = np.random.default_rng(7)
+    fresh = lambda n: [f"w{x}" for x in random.integers(0, 10**6, n)]
+    rows = []
+    for i in range(60):
+        text, similarity = fresh(204), 0.80 + 0.10 * (i % 21) / 20
+        part = round(204 * (1 - similarity))
+        block = round(200 * (1 - similarity) / (1 + similarity)) - 4
+        edited = [
+            text + fresh(int(200 / similarity) - 200),
+            text[part:] if i % 2 else text[: 204 - part],
+            text[:90] + fresh(block) + text[90 + block :],
+        ][i % 3]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(edited))]
+    kept, links = kept_by_force(rows)
+    assert len(links) > 50
+    assert sorted(r.doc_id for r in near_dedup.near_dedup(docs_of(*rows)).collect()) == kept
+
+
+@pytest.mark.parametrize("few_pairs", (0, 1000))
+def test_near_dedup_links_what_a_leader_does_not(docs_of, monkeypatch, few_pairs):
+    """Chains of edited copies, all of which share most of a text, with ends that are not similar."""
+    monkeypatch.setattr(near_dedup.linked, "__defaults__", (near_dedup.SIMILARITY, few_pairs, near_dedup.ROUNDS))
+    random = np.random.default_rng(3)
+    rows = []
+    for chain in range(3):
+        words = [f"w{x}" for x in random.integers(0, 10**6, 204)]
+        for step in range(12):
+            rows.append((100 * chain + step, " ".join(words)))
+            words[8 * step : 8 * step + 10] = [f"w{x}" for x in random.integers(0, 10**6, 10)]
+    kept, _ = kept_by_force(rows)
+    assert kept == [0, 100, 200]
+    assert sorted(r.doc_id for r in near_dedup.near_dedup(docs_of(*rows)).collect()) == kept
+
+
 def test_near_dedup_of_odd_rows(docs_of, clashing):
     base = [f"w{i}" for i in range(300)]
     edited = [base[:i] + [f"new{i}"] + base[i + 1 :] for i in range(20, 280, 4)]

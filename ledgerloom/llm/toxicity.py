@@ -33,7 +33,6 @@ SAMPLE = 20_000
 FEATURES = 4_096
 VOTERS = 256
 LEAST_DOCUMENTS = 3
-LIFT = 4.0  # how many times as likely "toxic" is with a feature, or without it, to be looked at
 STEMS = (4, 5, 6)
 FOLDS = 5
 PIECE = 1 << 20
@@ -127,10 +126,7 @@ def pick_features(sample: DataFrame, most: int = FEATURES) -> list[tuple[str, in
         (1 - inside) / (1 - rate)
     )
     counts = stored(counts.withColumn("gain", F.round(gain, 9)), "feature-counts")
-    lift = inside / rate
-    strong = counts.filter(
-        (F.col("gain") >= math.log(max(1, counts.count()))) & ((lift >= LIFT) | (lift <= 1 / LIFT))
-    )
+    strong = counts.filter(F.col("gain") >= math.log(max(1, counts.count())))
     rows = strong.orderBy(F.desc("gain"), "feature").limit(most).collect()
     return [(r.feature, r.n1, r.n - r.n1) for r in rows]
 

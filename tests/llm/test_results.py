@@ -568,6 +568,19 @@ def test_toxicity_without_labels_has_the_lexicon(spark, docs_of):
     assert [found[i].predicted for i in (1, 2, 3)] == [1, 0, 0]
 
 
+@pytest.mark.parametrize("share", (25, 40, 50, 75))
+def test_toxicity_learns_words_however_many_are_toxic(spark, docs_of, share):
+    random = np.random.default_rng(5)
+    toxic = {i: i * 37 % 100 < share for i in range(400)}
+    rows = [
+        (i, " ".join([f"w{chr(97 + x % 26)}{chr(97 + x // 26)}" for x in random.integers(0, 600, 12)] + ["zorgly"] * bad))
+        for i, bad in toxic.items()
+    ]
+    labels = spark.createDataFrame([(i, int(bad)) for i, bad in toxic.items()], "doc_id long, toxic int")
+    found = by_id(toxicity.toxicity(docs_of(*rows), labels))
+    assert np.mean([found[i].predicted == bad for i, bad in toxic.items() if found[i].held_out]) > 0.95
+
+
 def test_label_model_finds_accurate_voters_and_discounts_copies():
     random = np.random.default_rng(5)
     truth = random.random(3_000) < 0.3

@@ -3,7 +3,7 @@
 A page is a sequence of words and tags. Words score positive, or negative in kinds of blocks that
 labelled pages have outside their article; tags score negative. One linear scan finds the
 contiguous region with the highest sum, and its blocks make the text, without those that are
-menus, adverts, forms and the like.
+menus, adverts, forms and the like. What is in those scores nothing, however long it is.
 
 Pages that mark exactly one ``article`` or ``main`` element are the labelled ones: the weights come
 from how many words and tags all of them have inside and outside that element. What a page marks is
@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Elements without text of the page, up to their end tag.
-HIDDEN = "script style noscript template iframe object svg math textarea select title"
+# Elements without text of the page, up to their end tag; without one, up to the next block tag.
+HIDDEN = "script style noscript template iframe svg textarea select title"
 TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)
-    |<(?P<hidden>{HIDDEN.replace(" ", "|")})(?=[\s/>])[^>]*>.*?(?:</(?P=hidden)\s*>|\Z)
+    |<(?P<hidden>{HIDDEN.replace(" ", "|")})(?=[\s/>])[^>]*>
     |<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>[^<>"']*(?:"[^"]*"[^<>"']*|'[^']*'[^<>"']*)*)>
     |<[!?/a-z][^>]*>
     |(?P<text>[^<]+|<)""",
@@ -41,6 +41,8 @@ BLOCKS = frozenset(
 )
 # Elements that one of the same kind ends, if it is the innermost one.
 ALONE = frozenset("p li dt dd td th tr option".split())
+HIDDEN_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in HIDDEN.split()}
+BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS))})(?=[\s/>])", re.IGNORECASE)
 EMPTY = frozenset("hr br img input meta link area base col embed source track wbr".split())
 MARKED = ("article", "main")
 # Elements and words of class, id and role that are never main text.
@@ -55,8 +57,6 @@ NAMES = re.compile(r"""(?i)(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)
 # Bounds of the weights, so that no single kind of block decides alone.
 WORD_WEIGHT = (-1.0, 1.0)
 TAG_WEIGHT = (-0.5, -0.02)
-# Words that are left out anyway only part regions: an advert in the middle of a text should not.
-ASIDE_WEIGHT = (-0.1, -0.05)
 PRIOR = 50.0
 
 
@@ -83,12 +83,38 @@ def _is_aside(tag: str, attributes: str) -> bool:
     return bool(named and ASIDE_NAME.search(named))
 
 
+def tokens(page: str) -> Iterator[re.Match]:
+    """Tags and texts of a page in order, without hidden elements.
+
+    An svg element ends in front of a block tag, as browsers have it; other hidden ones only do
+    where no end tag follows. A self-closed svg is empty.
+    """
+    at, ends = 0, {}
+    while at < len(page):
+        token = TOKEN.match(page, at)
+        at = token.end()
+        name = (token["hidden"] or "").lower()
+        if not name:
+            yield token
+            continue
+        if name == "svg" and page[at - 2] == "/":
+            continue
+        end = ends.get(name)
+        if name not in ends or (end and end.start() < at):  # each end tag is looked for once
+            end = ends[name] = HIDDEN_END[name].search(page, at)
+        if end is None or name == "svg":
+            block = BLOCK_TAG.search(page, at, end.start() if end else len(page))
+            at = block.start() if block else end.end() if end else len(page)
+        else:
+            at = end.end()
+
+
 def blocks(page: str) -> Iterator[Block]:
     """The blocks of a page in order. ``kind`` is the innermost block element, ``aside`` whether it
     or one around it is never main text, ``marked`` whether an article or main element is around."""
     stack: list[tuple[str, bool, bool]] = [("", False, False)]
     now = Block("", False, False)
-    for token in TOKEN.finditer(page):
+    for token in tokens(page):
         text = token["text"]
         if text is not None:
             now.pieces.append(text)
@@ -132,15 +158,15 @@ def count_kinds(page: str) -> Counter:
         return found
     for part in parts:
         inside = part.marked and not part.aside
-        sort = "aside" if part.aside else "word"
-        found[sort, part.kind, inside] += len(part.text().split())
+        if not part.aside:
+            found["word", part.kind, inside] += len(part.text().split())
         for tag in part.tags:
             found["tag", tag, inside] += 1
     return found
 
 
 def learn_weights(pages: DataFrame) -> dict[tuple[str, str], float]:
-    """Weight of a word by (``word`` or ``aside``, kind) and of a tag, from all labelled pages.
+    """Weight of a word by (``word``, kind) and of a tag, from all labelled pages.
 
     Kinds are names of block elements, so the counts that reach the driver are a few hundred.
     """
@@ -176,7 +202,7 @@ def learn_weights(pages: DataFrame) -> dict[tuple[str, str], float]:
     for row in counts.collect():
         start = PRIOR if row.sort == "word" else 0.0  # unseen: words are text, tags are not
         odds = math.log((row.inside + start + 1) / (row.outside + 1))
-        low, high = {"tag": TAG_WEIGHT, "word": WORD_WEIGHT, "aside": ASIDE_WEIGHT}[row.sort]
+        low, high = {"tag": TAG_WEIGHT, "word": WORD_WEIGHT}[row.sort]
         weights[row.sort, row.kind] = min(high, max(low, odds))
     return weights
 
@@ -201,17 +227,17 @@ def main_text(page: str, weights: dict[tuple[str, str], float]) -> str:
     """The text of the best region: blocks joined by an empty line, adverts and the like left out."""
     scores, owners = [], []
     for part in blocks(page):
+        if part.aside:  # left out anyway: neither parts a region nor adds to one
+            continue
         text = part.text()
         for tag in part.tags:
             kind = tag if tag in BLOCKS else "other"
-            scores.append(TAG_WEIGHT[1] if part.aside else weights.get(("tag", kind), TAG_WEIGHT[1]))
+            scores.append(weights.get(("tag", kind), TAG_WEIGHT[1]))
             owners.append(None)
         count = text.count(" ") + 1 if text else 0
         if count:
-            default = ASIDE_WEIGHT[1] if part.aside else WORD_WEIGHT[1]
-            sort = "aside" if part.aside else "word"
-            scores.append(count * weights.get((sort, part.kind), default))
-            owners.append("" if part.aside else text)
+            scores.append(count * weights.get(("word", part.kind), WORD_WEIGHT[1]))
+            owners.append(text)
     start, end = best_region(scores)
     return "\n\n".join(text for text in owners[start:end] if text)
 

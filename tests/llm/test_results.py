@@ -515,6 +515,26 @@ def test_page_parts_that_are_not_text(spark):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("around", ("nav", "form", "aside", 'div class="comments"', 'div class="advert"'))
+def test_long_asides_cut_nothing_off(spark, around):
+    aside = f"<{around}>" + "<a>entry of the list</a> " * 150 + f"</{around.split()[0]}>"
+    long = "<p>" + "some words of the article itself " * 20 + "</p>"
+    page = f"<body><article><p>The first lines.</p>{aside}{long}{aside}<p>The last lines.</p></article>{{}}</body>"
+    rows = [(i, "u", page.format("<p>End</p><nav>more menu words</nav>")) for i in range(3)]
+    found = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).first().text
+    assert "The first lines." in found and "The last lines." in found and "entry" not in found
+
+
+def test_hidden_elements_end():
+    text = lambda page: html_text.main_text(page, {})
+    assert text('<p>a <svg class="i"/>b</p><p>c</p>') == "a b\n\nc"
+    assert text('<div><svg><path d="x"></div><p>c</p><svg><title>t</title></svg><p>d</p>') == "c\n\nd"
+    assert text("<p>a<noscript>x</p><p>b</p>") == "a\n\nb"
+    assert text("<p>a<script>if (x<y) '<p>no</p>'</script>b</p>") == "ab"
+    assert text("<p>a <math><mi>x</mi></math> b</p><object data=f><p>instead</p></object>") == "a x b\n\ninstead"
+    assert text("<title>" * 30_000 + "<p>b</p>") == "b"
+
+
 def test_best_region_is_the_best_of_all():
     random = np.random.default_rng(3)
     for _ in range(200):

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from checks.views import spark_ledger
-from conftest import rows_of
+from ledger_rows import rows_of
 from ledgerloom import METRICS
 from ledgerloom.functions.measures import pct_change, per_user, running, trailing_mean
 from ledgerloom.functions.periods import ceil_date, floor_date

@@ -7,7 +7,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import at, rows_of
+from ledger_rows import at, rows_of
 from ledgerloom import METRICS, Ledger
 from ledgerloom import constants as C
 from ledgerloom.functions.periods import Span

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.compare import difference, spark_rows
 from checks.views import spark_ledger
-from conftest import at, rows_of
+from ledger_rows import at, rows_of
 from ledgerloom import METRICS, Ledger
 from ledgerloom.sources import TABLES, market_points, read_market_chart, save_bucketed
 

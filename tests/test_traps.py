@@ -4,7 +4,7 @@ from datetime import date, timedelta
 
 import pytest
 
-from conftest import at, rows_of
+from ledger_rows import at, rows_of
 from ledgerloom import METRICS
 from ledgerloom import constants as C
 from ledgerloom.sources import parse_event_data

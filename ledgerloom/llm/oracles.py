@@ -91,3 +91,41 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coale
        coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+
+def _centroids(rounds: int = 3) -> str:
+    """Centroid clustering with the rounds written out; ``c<n>`` are the centroids after n of them."""
+    distance = "list_sum(list_transform(range(1, 65), lambda i: (k.x[i] - c.x[i]) * (k.x[i] - c.x[i])))::BIGINT"
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS MATERIALIZED (
+  SELECT rid, arg_min(c.cluster, ({distance}, c.cluster)) AS cluster, min({distance}) AS distance
+  FROM kept k, c{n} c GROUP BY rid
+)""")
+        if n < rounds:
+            steps.append(f"""c{n + 1} AS MATERIALIZED (
+  SELECT cluster, CASE WHEN n > 0 THEN list_transform(sums, lambda s: (s - ((s % n) + n) % n) // n) ELSE x END AS x
+  FROM (SELECT c.cluster, any_value(c.x) AS x, count(a.rid) AS n,
+               list_transform(range(1, 65), lambda i: list_sum(list_transform(list(k.x), lambda v: v[i]))::BIGINT) AS sums
+        FROM c{n} c LEFT JOIN a{n} a USING (cluster) LEFT JOIN kept k USING (rid) GROUP BY c.cluster)
+)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda v: floor(64 * v::DOUBLE)::BIGINT) AS x
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: isfinite(v))) = 64
+), c0 AS MATERIALIZED (
+  SELECT (row_number() OVER first - 1)::INT AS cluster, x FROM kept
+  WINDOW first AS (ORDER BY sha256('1:' || vec_id) NULLS LAST, x)
+  QUALIFY row_number() OVER first <= 16
+), {", ".join(steps)}, sums AS (
+  SELECT cluster, sum(distance)::BIGINT AS cluster_inertia FROM a{rounds} GROUP BY cluster
+)
+SELECT k.vec_id, a.cluster, a.distance, s.cluster_inertia,
+       (SELECT sum(cluster_inertia) FROM sums)::BIGINT AS inertia,
+       sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM kept k JOIN a{rounds} a USING (rid) JOIN sums s USING (cluster) JOIN c{rounds} c USING (cluster)
+"""
+
+
+ORACLES["op12_centroids"] = _centroids()

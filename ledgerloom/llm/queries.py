@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_documents
+from .centroids import cluster_report
 from .common import read
 from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
@@ -14,6 +16,7 @@ from .pii import pseudonymise
 from .secrets import scan
 from .sharding import shard_documents
 from .simhash import near_duplicates
+from .token_counts import count_tokens
 from .toxicity import toxicity
 from .url_filter import filter_urls
 
@@ -66,6 +69,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(read(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_report(read(spark, sf_dir, "embeddings"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
@@ -77,4 +92,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_secrets": op9_secrets,
     "op10_simhash": op10_simhash,
+    "op11_token_counts": op11_token_counts,
+    "op12_centroids": op12_centroids,
+    "op13_alignment": op13_alignment,
 }

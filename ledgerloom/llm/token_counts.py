@@ -2,9 +2,9 @@
 
 No ids are kept anywhere. A first pass collects the distinct pre-tokens of all texts with the number
 of their uses, and each is encoded once. A second pass takes every document's pre-token frequencies.
-Pre-tokens that make up one use in ``FREQUENT`` or more are known to every task; there can be no more
-than ``FREQUENT`` of them, whatever the corpus. All others are joined by shuffling, and none of
-those can be hot, since each has a smaller share of all uses.
+The most used pre-tokens, with all that make up one use in ``FREQUENT`` or more, are known to every
+task; there are no more than ``2 * FREQUENT``, whatever the corpus. All others are joined by
+shuffling, and none of those can be hot, since each has a smaller share of all uses.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ FREQUENT = 1 << 18
 # Longer pre-tokens are never sent to all tasks, so the dictionary is bounded in bytes as well.
 LONGEST = 128
 # Distinct pre-tokens that a task counts before it passes them on.
-HELD = 100_000
+HELD = 200_000
 
 
 def pre_tokens(docs: DataFrame, path: str) -> DataFrame:
@@ -60,9 +60,23 @@ def pre_tokens(docs: DataFrame, path: str) -> DataFrame:
 
 
 def frequent_tokens(tokens: DataFrame, frequent: int = FREQUENT) -> dict[str, int]:
-    """Pieces of the short pre-tokens with at least one use in ``frequent`` of all; at most so many."""
-    total = tokens.agg(F.sum("uses")).first()[0] or 0
-    chosen = tokens.filter((F.col("uses") * frequent >= total) & (F.length("token") <= LONGEST))
+    """Pieces of the most used short pre-tokens, of ``2 * frequent`` at most.
+
+    Those are all with at least one use in ``frequent`` of all, of which there can be no more than
+    that, and all from the lowest power of two of uses on that leaves no more than ``frequent``.
+    """
+    short = tokens.filter(F.length("token") <= LONGEST)
+    uses = F.floor(F.log2("uses"))
+    ranges = short.groupBy(uses.alias("range")).agg(F.count(F.lit(1)).alias("n"), F.sum("uses").alias("uses"))
+    least, held = 64, 0
+    rows = ranges.orderBy(F.desc("range")).collect()  # 64 rows at most
+    for row in rows:
+        held += row["n"]
+        if held > frequent:
+            break
+        least = row["range"]
+    total = sum(row["uses"] for row in rows)
+    chosen = short.filter((F.col("uses") * frequent >= total) | (uses >= least))
     table = chosen.select("token", "pieces").toArrow()
     return dict(zip(table["token"].to_pylist(), table["pieces"].to_pylist(), strict=True))
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -23,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import portions, stored
-from .vocabularies import Remembered, default_path, in_runs, read_vocabulary, vocabulary
+from .vocabularies import default_path, in_runs, read_vocabulary, vocabulary
 
 FREQUENT = 1 << 18
-# Characters of text that are encoded in one call.
-RUN = 1 << 18
+# Characters of text whose pre-tokens are aligned together.
+RUN = 1 << 20
 
 
 def gallop(short: list[int], long: list[int]) -> list[int]:
@@ -71,12 +72,11 @@ def align(a_ends: np.ndarray, b_ends: np.ndarray) -> Aligned:
     # A token overlaps from where the one before it ends, or from the next on if that is a common end.
     first = np.concatenate(([0], last[:-1] + common[:-1]))
     overlaps = last - first + 1
-    places = np.arange(overlaps.sum()) - np.repeat(np.cumsum(overlaps) - overlaps, overlaps)
     return Aligned(
         np.flatnonzero(common) + 1,
         last[common] + 1,
         np.repeat(np.arange(len(a_ends)), overlaps),
-        np.repeat(first, overlaps) + places,
+        _ranges(first, overlaps),
     )
 
 
@@ -93,13 +93,102 @@ class Names:
         return found
 
 
-def groups_text(a: np.ndarray, b: np.ndarray, found: Aligned, a_names: Names, b_names: Names) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of each group in order."""
+def group_names(a: np.ndarray, b: np.ndarray, found: Aligned, a_names: Names, b_names: Names) -> np.ndarray:
+    """The ids of each group in order, those of A first, as text with separators."""
     a_sizes, b_sizes = np.diff(found.a_cuts, prepend=0), np.diff(found.b_cuts, prepend=0)
     merged = np.empty(len(a) + len(b), dtype=object)
     merged[np.arange(len(a)) + np.repeat(found.b_cuts - b_sizes, a_sizes)] = a_names.text(a, found.a_cuts)
     merged[np.arange(len(b)) + np.repeat(found.a_cuts, b_sizes)] = b_names.text(b, found.b_cuts)
-    return "".join(merged.tolist())[:-1]
+    return merged
+
+
+class Encoder:
+    """One of the two vocabularies with what is needed of its ids."""
+
+    def __init__(self, file: tuple[str, bytes], end: str):
+        self._vocabulary = vocabulary(*file)
+        self.split, self._bytes = self._vocabulary.split, self._vocabulary.token_bytes()
+        self._sizes = np.array([len(token) for token in self._bytes])
+        self.names = Names(len(self._bytes), ",", end)
+
+    def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts in one array, and where each part's begin (and the last one's end)."""
+        found = self._vocabulary.encode(parts)
+        at = np.zeros(len(found) + 1, dtype=np.int64)
+        np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)), out=at[1:])
+        return np.fromiter(chain.from_iterable(found), dtype=np.int64, count=at[-1]), at
+
+    def ends(self, ids: np.ndarray) -> np.ndarray:
+        return np.cumsum(self._sizes[ids])
+
+    def lengths(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The bytes of each part."""
+        return np.diff(np.concatenate(([0], self.ends(ids)))[at])
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        return b"".join([self._bytes[i] for i in ids.tolist()])
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All numbers of ranges that begin at ``starts``, one range after the other."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
+class Parts:
+    """Distinct pre-tokens, aligned in one go as if they were one text."""
+
+    def __init__(self, parts: list[str], a: Encoder, b: Encoder):
+        (a_ids, a_at), (b_ids, b_at) = a.encode(parts), b.encode(parts)
+        self.whole = self._unchanged(parts, a, b, a_ids, a_at, b_ids, b_at)
+        # Parts that either vocabulary changes have no tokens here.
+        self.n_a, self.n_b = np.diff(a_at) * self.whole, np.diff(b_at) * self.whole
+        a_ids, b_ids = a_ids[np.repeat(self.whole, np.diff(a_at))], b_ids[np.repeat(self.whole, np.diff(b_at))]
+        a_at, b_at = np.cumsum(self.n_a), np.cumsum(self.n_b)
+        found = align(a.ends(a_ids), b.ends(b_ids))
+        self.n_groups = np.diff(np.searchsorted(found.a_cuts, a_at, side="right"), prepend=0)
+        self.pairs = (a_ids[found.a_links] << 32) | b_ids[found.b_links]
+        links = np.searchsorted(found.a_links, a_at)
+        self.n_links = np.diff(links, prepend=0)
+        self._link = links - self.n_links
+        names, at = group_names(a_ids, b_ids, found, a.names, b.names).tolist(), (a_at + b_at).tolist()
+        self._groups = ["".join(names[i:j]) for i, j in zip([0, *at[:-1]], at, strict=True)]
+
+    @staticmethod
+    def _unchanged(parts, a, b, a_ids, a_at, b_ids, b_at) -> np.ndarray:
+        """Whether the joined bytes of A and of B are those of the part. All at once, if all are."""
+        raw = [part.encode() for part in parts]
+        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        if (a.lengths(a_ids, a_at) == sizes).all() and (b.lengths(b_ids, b_at) == sizes).all():
+            if a.joined(a_ids) == b.joined(b_ids) == b"".join(raw):
+                return np.ones(len(parts), dtype=bool)
+        bounds = zip(raw, a_at[:-1], a_at[1:], b_at[:-1], b_at[1:], strict=True)
+        return np.array([a.joined(a_ids[i:j]) == part == b.joined(b_ids[k:m]) for part, i, j, k, m in bounds], dtype=bool)
+
+    def text(self, at: np.ndarray) -> tuple:
+        """The columns of a text that consists of the parts at these places."""
+        pairs = self.pairs[_ranges(self._link[at], self.n_links[at])]
+        pairs, times = np.unique(pairs, return_counts=True)
+        sums = (int(each[at].sum()) for each in (self.n_a, self.n_b, self.n_groups, self.n_links))
+        return *sums, "".join([self._groups[i] for i in at.tolist()])[:-1], pairs, times
+
+
+def aligned_texts(texts: list[str], a: Encoder, b: Encoder) -> list[tuple]:
+    """``n_a, n_b, n_groups, n_links, groups, pairs, times`` of each text.
+
+    A space that follows no white space begins a pre-token in either vocabulary, so tokens of both
+    end before it. Pre-tokens between such places are aligned once, however often they occur.
+    """
+    place: dict[str, int] = {}
+    cut = [np.array([place.setdefault(part, len(place)) for part in a.split(text)], dtype=np.int64) for text in texts]
+    parts = Parts(list(place), a, b)
+    rows = []
+    for text, at in zip(texts, cut, strict=True):
+        if parts.whole[at].all():
+            rows.append(parts.text(at))
+            continue
+        one = Parts([text], a, b)  # decided on the whole text, as joined bytes are
+        rows.append(one.text(np.zeros(int(one.whole[0]), dtype=np.int64)))
+    return rows
 
 
 def alignments(docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
@@ -109,7 +198,7 @@ def alignments(docs: DataFrame, a_path: str | None = None, b_path: str | None =
     are neither added nor recognised. ``groups`` lists the ids of each group (``a1,a2|b1;a3|b2``),
     ``pairs`` the distinct linked pairs as ``a << 32 | b`` with the links of each in ``times``.
     Texts that are null or empty, or that the joined bytes of A or B do not give back, have no
-    tokens. Texts are encoded whole, in pre-tokens of which each task remembers the short ones.
+    tokens. Texts are read whole, in runs of about ``RUN`` characters; a longer one is a run by itself.
     """
     context = docs.sparkSession.sparkContext
     a_path = a_path or default_path("byte_bpe_50k.json")
@@ -117,35 +206,13 @@ def alignments(docs: DataFrame, a_path: str | None = None, b_path: str | None =
     files = context.broadcast((read_vocabulary(a_path), read_vocabulary(b_path)))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a_vocabulary, b_vocabulary = (vocabulary(*file) for file in files.value)
-        a_bytes, b_bytes = a_vocabulary.token_bytes(), b_vocabulary.token_bytes()
-        a_sizes, b_sizes = (np.array([len(t) for t in found]) for found in (a_bytes, b_bytes))
-        a_names, b_names = Names(len(a_bytes), ",", "|"), Names(len(b_bytes), ",", ";")
-        a_known, b_known = Remembered(a_vocabulary.encode), Remembered(b_vocabulary.encode)
-
-        def aligned(text: str, parts: list[str], a_ids: dict, b_ids: dict) -> tuple:
-            a = [i for part in parts for i in a_ids[part]]
-            b = [i for part in parts for i in b_ids[part]]
-            whole = text.encode()
-            if b"".join([a_bytes[i] for i in a]) != whole or b"".join([b_bytes[i] for i in b]) != whole:
-                return 0, 0, 0, 0, "", [], []
-            a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-            found = align(np.cumsum(a_sizes[a]), np.cumsum(b_sizes[b]))
-            pairs, times = np.unique((a[found.a_links] << 32) | b[found.b_links], return_counts=True)
-            groups = groups_text(a, b, found, a_names, b_names)
-            return len(a), len(b), len(found.a_cuts), len(found.a_links), groups, pairs, times
-
-        for batch in portions(batches, 64):
+        a, b = (Encoder(file, end) for file, end in zip(files.value, "|;", strict=True))
+        for batch in portions(batches, 512):
             at = 0
             # The text with its space: none of an empty one.
             texts = (" " + t if t else "" for t in batch.column("text").to_pylist())
             for run in in_runs(texts, RUN):
-                # Both tokenizers may be cut where A may be: B never joins a space to what stands before it.
-                cut = [list(a_vocabulary.split(text)) for text in run]
-                asked = {part for parts in cut for part in parts}
-                a_ids, b_ids = a_known.lookup(asked), b_known.lookup(asked)
-                rows = [aligned(*one, a_ids, b_ids) for one in zip(run, cut, strict=True)]
-                n_a, n_b, n_groups, n_links, groups, pairs, times = zip(*rows, strict=True)
+                n_a, n_b, n_groups, n_links, groups, pairs, times = zip(*aligned_texts(run, a, b), strict=True)
                 own = batch.slice(at, len(run))
                 at += len(run)
                 yield pa.RecordBatch.from_arrays(

@@ -14,6 +14,10 @@ from functools import lru_cache
 
 # Above this many characters a text is cut lazily, so that its pre-tokens are never held at once.
 LONG = 1 << 20
+# Parts of such characters are letters, numbers, marks or white space by every version of Unicode.
+SETTLED = re.compile("[\t\n\r\x20-\x7e\u00a1-\u00ac\u00ae-\u024f\u0391-\u03a1\u03a3-\u03c9\u0400-\u0523\u2010-\u2026]*")
+# How the byte-level pre-tokenizer cuts a text (fixed value of such vocabularies).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Characters that some Unicode version counts as white space, or that are often taken for it.
 WHITE = "\t-\r\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 
@@ -32,10 +36,12 @@ def _cuts(pattern: re.Pattern, text: str) -> Iterable[str]:
 
 
 class ByteLevel:
-    """Byte-level BPE of a ``.json`` file, encoded by the tokenizers library.
+    """Byte-level BPE of a ``.json`` file, with the ids that the tokenizers library gives.
 
     Its pre-tokenizer never joins white space to what stands before it. So a text may be cut before
-    each plain space that follows a character which is certainly not white space.
+    each plain space that follows a character which is certainly not white space. Where the ids of
+    the file follow its merges, parts of settled characters are encoded by tiktoken with the file's
+    own tokens as ranks, several times faster and to the same ids; all others by tokenizers itself.
     """
 
     _cut = re.compile(f" *[^ ]*(?:(?<=[{WHITE}]) +[^ ]*)*")
@@ -52,11 +58,31 @@ class ByteLevel:
         self._tokenizer.encode_special_tokens = True
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
+        self._ranked = None
+        vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+        made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in merges]
+        special = {token["content"] for token in spec.get("added_tokens", ())}
+        if made == sorted(made) and not special & vocab.keys():
+            import tiktoken
+
+            known = self.token_bytes()
+            ranks = {known[i]: i for token, i in vocab.items()}
+            self._ranked = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def split(self, text: str) -> Iterable[str]:
         return _cuts(self._cut, text)
 
     def encode(self, parts: list[str]) -> list[list[int]]:
+        if self._ranked is None:
+            return self._by_library(parts)
+        ranked, settled = self._ranked.encode_ordinary, SETTLED.fullmatch
+        found = [ranked(part) if settled(part) else None for part in parts]
+        others = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(others, self._by_library([parts[i] for i in others]), strict=True):
+            found[i] = ids
+        return found
+
+    def _by_library(self, parts: list[str]) -> list[list[int]]:
         found = self._tokenizer.encode_batch_fast(parts, add_special_tokens=False)
         return [one.ids for one in found]
 
@@ -137,28 +163,6 @@ def vocabulary(kind: str, raw: bytes) -> ByteLevel | Pieces:
     return ByteLevel(raw) if kind == "bytes" else Pieces(raw)
 
 
-class Remembered:
-    """Encodes pre-tokens and keeps the short ones, up to a fixed number."""
-
-    def __init__(self, encode, entries: int = 100_000, longest: int = 64):
-        self._encode, self._entries, self._longest = encode, entries, longest
-        self._known: dict[str, list[int]] = {}
-
-    def lookup(self, parts: Iterable[str]) -> dict[str, list[int]]:
-        """The ids of all ``parts``; those not known are encoded in one call."""
-        asked = set(parts)
-        found = {p: self._known[p] for p in asked if p in self._known}
-        missing = [p for p in asked if p not in found]
-        if missing:
-            fresh = dict(zip(missing, self._encode(missing), strict=True))
-            found |= fresh
-            if len(self._known) + len(fresh) > self._entries:
-                self._known.clear()
-            if len(fresh) <= self._entries:
-                self._known |= {p: ids for p, ids in fresh.items() if len(p) <= self._longest}
-        return found
-
-
 def in_runs(texts: Iterator[str], characters: int) -> Iterator[list[str]]:
     """Runs of ``texts`` of about so many characters in all."""
     run, size = [], 0

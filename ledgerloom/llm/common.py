@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -53,12 +54,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete the files of tables written by ``stored`` that no later plan reads."""
+    """Delete the files of tables written by ``stored`` that no later plan reads.
+
+    Shuffles that nothing refers to any more go as well: Spark's cleaner removes their files from
+    the executors once the driver has collected its garbage, which iterations must not wait for.
+    """
     for table in tables:
         spark = table.sparkSession
         for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 # Rows of a side that may be sent to every task; sides of this package have about 100 bytes a row.

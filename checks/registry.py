@@ -138,6 +138,25 @@ def _checks() -> dict[str, Check]:
     checks["native_contracts_over_tx_threshold__shared_time"] = Check(
         "native_contracts_over_tx_threshold", "clicks", options={"threshold": 3}, ledger=shared
     )
+    # From the first-seen state and the manifest, which are built from the same tables.
+    state = {"state": True}
+    for name in (
+        "first_ever_accounts_kpi",
+        "contract_deployments_split",
+        "user_growth_weekly",
+        "invocation_growth_weekly",
+        "transaction_growth_weekly",
+    ):
+        checks[f"{name}__state"] = Check(name, "clicks", "last_week", ledger=state)
+    checks["first_ever_accounts_kpi__state_last_24h"] = Check(
+        "first_ever_accounts_kpi", "clicks", "last_24h", ledger=state
+    )
+    checks["contract_debuts_by_source__state"] = Check(
+        "contract_debuts_by_source",
+        "clicks",
+        options={"debut_range": (date(2024, 1, 1), date(2024, 1, 31))},
+        ledger=state,
+    )
     return checks
 
 

@@ -21,8 +21,10 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom import constants as C
+from ledgerloom.operators.deployments import evm_deployments
+from ledgerloom.plans.growth import add_day_counts
 from ledgerloom.session import configure
-from ledgerloom.sources import Ledger
+from ledgerloom.sources import DayManifest, FirstSeen, Ledger, add_first_seen
 from ledgerloom.sources.market import read_market_chart
 from ledgerloom.sources.schemas import checked
 
@@ -228,8 +230,23 @@ def _as_snapshot(chart: DataFrame) -> DataFrame:
     return read_market_chart(spark, path)
 
 
+def _with_state(spark: SparkSession, ledger: Ledger) -> Ledger:
+    """``ledger`` with a first-seen state and a manifest built from all its days."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    path = f"{folder}/state-{uuid.uuid4().hex}"
+    state, manifest = FirstSeen(spark, f"{path}/first-seen"), DayManifest(spark, f"{path}/manifest")
+    add_first_seen(state, ledger, evm_deployments)
+    add_day_counts(manifest, ledger)
+    ledger.first_seen, ledger.manifest = state, manifest
+    return ledger
+
+
 def spark_ledger(spark: SparkSession, sf_dir: str, world: str = "chain", **options) -> Ledger:
-    """The views over the Parquet files in ``sf_dir``, as a ledger."""
+    """The views over the Parquet files in ``sf_dir``, as a ledger.
+
+    ``state=True`` adds the tables that are kept beside the facts.
+    """
+    state = options.pop("state", False)
     configure(spark)
     views, _, genesis = WORLDS[world]
 
@@ -250,4 +267,5 @@ def spark_ledger(spark: SparkSession, sf_dir: str, world: str = "chain", **optio
             return checked(spark.sql(RAW_EVENTS, events=view(name)), name)
         return view(name)
 
-    return Ledger(opener, genesis=genesis, **options)
+    ledger = Ledger(opener, genesis=genesis, **options)
+    return _with_state(spark, ledger) if state else ledger

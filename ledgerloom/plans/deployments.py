@@ -22,6 +22,7 @@ from ledgerloom.operators.combining import align, stack
 from ledgerloom.operators.deployments import evm_contracts_or_transactions, evm_deployments
 from ledgerloom.operators.ranking import first_seen
 from ledgerloom.sources.ledger import Ledger
+from ledgerloom.sources.state import CONTRACT_KIND, DEPLOYMENT_KIND
 
 
 def _is_coa(prefix: str) -> Column:
@@ -38,6 +39,14 @@ def _native_contracts(ledger: Ledger, span: Span) -> DataFrame:
     )
 
 
+def _native_debuts(ledger: Ledger, span: Span) -> DataFrame:
+    """Native contracts and their first event inside ``span``, from the ledger's state where it has one."""
+    if ledger.first_seen is not None:
+        return ledger.first_seen.seen(CONTRACT_KIND, span).withColumnRenamed("first", "debut")
+    events = within(ledger.native_event, span)
+    return first_seen(events, "event_contract", F.col("block_timestamp"), "debut")
+
+
 def contract_deployments_split(
     ledger: Ledger,
     *,
@@ -53,9 +62,7 @@ def contract_deployments_split(
     EVM contract counts in every bucket with a deployment of it.
     """
     span = series_span(period, as_of or today(), ledger.genesis)
-    debuts = first_seen(
-        within(ledger.native_event, span), "event_contract", F.col("block_timestamp"), "debut"
-    )
+    debuts = _native_debuts(ledger, span)
     native = debuts.groupBy(span.bucket("debut").alias("day")).agg(
         F.count("event_contract").alias("native")
     )
@@ -281,18 +288,21 @@ def contract_debuts_by_source(
     """
     first, last = debut_range
     week = Span(grain="week")
-    native = first_seen(
-        ledger.native_event, "event_contract", F.col("block_timestamp"), "debut"
-    ).select(
+    native = _native_debuts(ledger, Span()).select(
         week.bucket("debut").alias("date"),
         F.lit(C.NATIVE_LABEL).alias("source"),
         F.col("event_contract").alias("contract"),
     )
+    if ledger.first_seen is not None:
+        pairs = ledger.first_seen.seen(DEPLOYMENT_KIND).withColumn("date", week.bucket("first"))
+    else:
+        pairs = (
+            evm_deployments(ledger, week, topic=topic, signatures=signatures)
+            .groupBy("contract", "creator")
+            .agg(F.min("bucket").alias("date"))
+        )
     evm = (
-        evm_deployments(ledger, week, topic=topic, signatures=signatures)
-        .groupBy("contract", "creator")
-        .agg(F.min("bucket").alias("date"))
-        .select(
+        pairs.select(
             "date",
             F.when(_is_coa(coa_prefix), F.lit(C.COA_SOURCE_LABEL))
             .otherwise(F.lit(C.NON_COA_SOURCE_LABEL))

@@ -18,20 +18,46 @@ from ledgerloom.functions.measures import (
 from ledgerloom.functions.periods import Span, ceil_date, midnight, report_start, today, within
 from ledgerloom.operators.combining import align, stack
 from ledgerloom.sources.ledger import Ledger
+from ledgerloom.sources.state import DayManifest
 
 
-def _from_last_week_before(monday: date, *sides: DataFrame) -> list[DataFrame]:
-    """Each side from the last week before ``monday`` on that any side has rows in.
+# The rows that growth counts, by kind: table and condition.
+COUNTED = {
+    "native_user_event": ("native_event", is_user_event),
+    "native_invocation": ("native_event", lambda: F.col("tx_succeeded")),
+    "evm_contract_call": ("evm_tx", is_contract_call),
+}
 
-    That week may be arbitrarily old. A maximum without a shuffle finds it, and
-    as a scalar subquery it bounds the scans of the distinct counts.
+
+def counted(ledger: Ledger, kind: str) -> DataFrame:
+    table, condition = COUNTED[kind]
+    return ledger[table].filter(condition())
+
+
+def add_day_counts(manifest: DayManifest, ledger: Ledger, span: Span = Span()) -> None:
+    """Add the days of ``span`` (default: all) of ``ledger`` to ``manifest``."""
+    for kind in COUNTED:
+        manifest.add(kind, within(counted(ledger, kind), span))
+
+
+def _from_last_week_before(monday: date, ledger: Ledger, kinds: Sequence[str]) -> list[DataFrame]:
+    """The rows of each kind from the last week before ``monday`` on that any kind has rows in.
+
+    That week may be arbitrarily old. The ledger's manifest has it; without one,
+    a maximum without a shuffle finds it. As a scalar subquery it bounds the
+    scans of the distinct counts.
     """
-    latest = stack(
-        *(
-            within(side, Span(None, monday)).agg(F.max("block_timestamp").alias("latest"))
-            for side in sides
+    sides = [counted(ledger, kind) for kind in kinds]
+    if ledger.manifest is not None:
+        days = ledger.manifest.latest(kinds, monday)
+    else:
+        days = stack(
+            *(
+                within(side, Span(None, monday)).agg(F.max("block_timestamp").alias("latest"))
+                for side in sides
+            )
         )
-    ).agg(F.coalesce(F.date_trunc("week", F.max("latest")), midnight(monday)).alias("week"))
+    latest = days.agg(F.coalesce(F.date_trunc("week", F.max("latest")), midnight(monday)).alias("week"))
 
     def bounded(side: DataFrame) -> DataFrame:
         since = latest.scalar()
@@ -44,9 +70,9 @@ def _from_last_week_before(monday: date, *sides: DataFrame) -> list[DataFrame]:
 
 
 def _growth(
-    native: DataFrame,
+    ledger: Ledger,
+    native_kind: str,
     native_measures: Sequence[Column],
-    evm: DataFrame,
     evm_measures: Sequence[Column],
     *,
     period: str,
@@ -62,8 +88,11 @@ def _growth(
     period; the means only see weeks of the period.
     """
     since = report_start(period, as_of or today())
+    kinds = (native_kind, "evm_contract_call")
     if since is not None:
-        native, evm = _from_last_week_before(ceil_date(since, "week"), native, evm)
+        native, evm = _from_last_week_before(ceil_date(since, "week"), ledger, kinds)
+    else:
+        native, evm = (counted(ledger, kind) for kind in kinds)
     week = Span(grain="week").bucket().alias("week")
     weeks = align(
         native.groupBy(week).agg(*native_measures), evm.groupBy(week).agg(*evm_measures), "week"
@@ -87,12 +116,12 @@ def user_growth_weekly(
 ) -> DataFrame:
     """Weekly distinct users and contracts of each ledger, with user growth."""
     return _growth(
-        ledger.native_event.filter(is_user_event()),
+        ledger,
+        "native_user_event",
         [
             F.countDistinct("event_from").alias("cadence_users"),
             F.countDistinct("event_contract").alias("cadence_contracts"),
         ],
-        ledger.evm_tx.filter(is_contract_call()),
         [
             F.countDistinct("from_address").alias("evm_users"),
             F.countDistinct("to_address").alias("evm_contracts"),
@@ -128,12 +157,12 @@ def invocation_growth_weekly(
     sender.
     """
     return _growth(
-        ledger.native_event.filter(F.col("tx_succeeded")),
+        ledger,
+        "native_invocation",
         [
             F.count(F.lit(1)).alias("cadence_invocations"),
             F.countDistinct("event_contract").alias("unique_cadence_contracts"),
         ],
-        ledger.evm_tx.filter(is_contract_call()),
         [
             F.count(F.lit(1)).alias("evm_invocations"),
             F.countDistinct("to_address").alias("unique_evm_contracts"),
@@ -165,12 +194,12 @@ def transaction_growth_weekly(
 ) -> DataFrame:
     """Weekly user events and contract calls of each ledger, with growth."""
     return _growth(
-        ledger.native_event.filter(is_user_event()),
+        ledger,
+        "native_user_event",
         [
             F.count(F.lit(1)).alias("cadence_transactions"),
             F.countDistinct("event_contract").alias("cadence_contracts"),
         ],
-        ledger.evm_tx.filter(is_contract_call()),
         [
             F.count(F.lit(1)).alias("evm_transactions"),
             F.countDistinct("to_address").alias("evm_contracts"),

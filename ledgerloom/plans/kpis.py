@@ -14,6 +14,7 @@ from ledgerloom.operators.accounts import all_accounts, evm_accounts, native_acc
 from ledgerloom.operators.combining import having_key, merge_totals, stack
 from ledgerloom.operators.deployments import evm_deployments
 from ledgerloom.sources.ledger import Ledger
+from ledgerloom.sources.state import ACCOUNT_KINDS
 
 
 def evm_transactions_kpi(
@@ -66,11 +67,22 @@ def first_ever_accounts_kpi(
     """Accounts of the period that their ledger had never shown before it.
 
     The period includes the midnight of ``as_of``. History is reduced to the
-    accounts of the period before it is looked at.
+    accounts of the period before it is looked at; where the ledger has a
+    first-seen state, that is read instead and history is not.
     """
     as_of = as_of or today()
     start = kpi_span(period, as_of, ledger.genesis).start
     seen = F.col("block_timestamp")
+    if ledger.first_seen is not None:
+        first = F.col("first").between(midnight(start), midnight(as_of))
+        return stack(
+            *(
+                ledger.first_seen.seen(kind, Span(None, as_of + timedelta(days=1)))
+                .filter(first & F.col("account").isNotNull())
+                .agg(F.count(F.lit(1)).alias("n"))
+                for kind in ACCOUNT_KINDS.values()
+            )
+        ).agg(F.sum("n").alias("total_new_accounts_last_24h"))
     period_span, history = Span(start, as_of + timedelta(days=1)), Span(None, start)
     per_ledger = []
     for accounts in (native_accounts, evm_accounts):

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom import constants as C
 from ledgerloom.functions.periods import Span, within
 from ledgerloom.sources.schemas import TABLES, checked
+from ledgerloom.sources.state import DayManifest, FirstSeen
 
 
 class Ledger:
@@ -26,6 +27,9 @@ class Ledger:
         Range filters then apply to both sides of a transaction-event join, so
         neither side is read outside the range. Results do not change when the
         statement is true, which the caller vouches for.
+    first_seen, manifest
+        Tables kept beside the facts (see :mod:`~.state`), which must hold the
+        same days as these. Metrics that look back read them instead of history.
     """
 
     def __init__(
@@ -34,11 +38,15 @@ class Ledger:
         *,
         genesis: date = C.GENESIS,
         shared_block_time: bool = False,
+        first_seen: FirstSeen | None = None,
+        manifest: DayManifest | None = None,
     ):
         self._opener = opener
         self._open: dict[str, DataFrame] = {}
         self.genesis = genesis
         self.shared_block_time = shared_block_time
+        self.first_seen = first_seen
+        self.manifest = manifest
 
     @classmethod
     def from_frames(cls, frames: Mapping[str, DataFrame], **options) -> "Ledger":

@@ -5,10 +5,10 @@ character contexts up to ``order`` in all of those urls. A character's probabili
 context is smoothed by the shorter ones (Witten-Bell: the more different characters followed a
 context, the more weight goes to the shorter one), down to a uniform distribution. A url without a
 rule is scored by the mean log-likelihood difference per character; the threshold is the one that
-best separates the scores of the labelled urls.
+best separates the scores of labelled urls that were held out of the training.
 
 Models are tables: counts are grouped and joined by context as far as the corpus has contexts. Only
-distinct scored strings take part.
+distinct scored strings take part, and only distinct windows of characters are rated.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ START, END = "\x02", "\x03"
 CLASSES = ("allow", "block")
 # Scores are compared in steps of 1 / 100 between -10 and 10 to find the threshold.
 STEPS, FARTHEST = 100, 10
+# One of this many parts of the labelled texts sets the threshold and does not train.
+FOLDS = 5
 
 
 @dataclass(frozen=True)
@@ -73,30 +75,43 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Colu
     return found
 
 
-def letters(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """One row per character of ``text`` and context length: all columns, context and next.
-
-    Texts start after ``order`` start marks and end with an end mark, so an empty one has a row.
+def windows(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """One row per character of ``text``, which is replaced by ``window``: the character and the
+    ``order`` ones before it. Texts start after ``order`` start marks and end with an end mark, so
+    an empty one has a row. Each row holds its window alone, so the work grows with the characters.
     """
     padded = F.concat(F.lit(START * order), "text", F.lit(END))
-    # All windows of order + 1 characters; the last of each is the one that is predicted.
-    windows = F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{order + 1}}}))"), F.lit(1))
-    cut = texts.select("*", F.posexplode(windows).alias("place", "_window")).select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(order))).alias("length")
-    )
-    return cut.select(
+    found = F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{order + 1}}}))"), F.lit(1))
+    kept = [c for c in texts.columns if c != "text"]
+    return texts.select(*kept, F.explode(found).alias("window"))
+
+
+def contexts(counted: DataFrame, order: int = ORDER) -> DataFrame:
+    """``window`` cut into next character and context, once per context length up to ``order``."""
+    return counted.select("*", F.explode(F.sequence(F.lit(0), F.lit(order))).alias("length")).select(
         "*",
-        F.substr("_window", F.lit(order + 1) - F.col("length"), F.col("length")).alias("context"),
-        F.right("_window", F.lit(1)).alias("next"),
-    ).drop("_window")
+        F.substr("window", F.lit(order + 1) - F.col("length"), F.col("length")).alias("context"),
+        F.right("window", F.lit(1)).alias("next"),
+    )
+
+
+def spread_out(texts: DataFrame) -> DataFrame:
+    """Few rows give many characters: deal them to all cores before they are cut."""
+    return texts.repartition(texts.sparkSession.sparkContext.defaultParallelism)
 
 
 def train(labelled: DataFrame, order: int = ORDER) -> DataFrame:
     """Counts of both models by context: (context, models), models by class.
 
-    ``labelled`` has columns text, verdict and weight (how often the text occurs).
+    ``labelled`` has columns text, verdict and weight (how often the text occurs). Equal windows are
+    counted before they are cut into contexts.
     """
-    counts = letters(labelled, order).groupBy("context", "verdict", "next").agg(
+    counted = (
+        windows(spread_out(labelled.select("text", "verdict", "weight")), order)
+        .groupBy("window", "verdict")
+        .agg(F.sum("weight").alias("weight"))
+    )
+    counts = contexts(counted, order).groupBy("context", "verdict", "next").agg(
         F.sum("weight").alias("times")
     )
     by_class = counts.groupBy("context", "verdict").agg(
@@ -111,9 +126,10 @@ def train(labelled: DataFrame, order: int = ORDER) -> DataFrame:
     )
 
 
-def scores(texts: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
-    """``(text, score)``: mean over characters of log P(accepted model) - log P(rejected model)."""
-    seen = letters(texts.select("text"), order).join(small(model), "context", "left")
+def window_ratios(found: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
+    """``(window, ratio)`` of distinct windows: log P(accepted model) - log P(rejected model) of the
+    last character after the others."""
+    seen = contexts(found, order).join(small(model), "context", "left")
 
     def step(verdict: str) -> Column:
         known = F.try_element_at("models", F.lit(verdict))
@@ -136,10 +152,26 @@ def scores(texts: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
         )
 
     entry = F.struct("length", *[step(v).alias(v) for v in CLASSES])
-    places = seen.groupBy("text", "place").agg(F.array_sort(F.collect_list(entry)).alias("steps"))
+    steps = seen.groupBy("window").agg(F.array_sort(F.collect_list(entry)).alias("steps"))
     ratio = log_probability(CLASSES[0]) - log_probability(CLASSES[1])
+    return steps.select("window", ratio.alias("ratio"))
+
+
+def scores(texts: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
+    """``(text, score)`` of the distinct texts: the mean ratio of their characters.
+
+    Texts go by a number while they are cut, so however long one is, no row or shuffle repeats it.
+    Each distinct window is rated once, whatever the number of characters that have it.
+    """
+    numbered = spread_out(texts.select("text").distinct())
+    numbered = stored(numbered.select(F.monotonically_increasing_id().alias("key"), "text"), "url-numbers")
+    counted = windows(numbered, order).groupBy("key", "window").agg(F.count(F.lit(1)).alias("times"))
+    counted = stored(counted, "url-windows")
+    rated = stored(window_ratios(counted.select("window").distinct(), model, order), "url-ratios")
     # Rounded, as the order of addition may differ between runs.
-    return places.groupBy("text").agg(F.round(F.avg(ratio), 9).alias("score"))
+    mean = F.round(F.sum(F.col("times") * F.col("ratio")) / F.sum("times"), 9)
+    by_key = counted.join(small(rated), "window").groupBy("key").agg(mean.alias("score"))
+    return numbered.join(by_key, "key").select("text", "score")
 
 
 def threshold(scored: DataFrame) -> float:
@@ -161,13 +193,28 @@ def threshold(scored: DataFrame) -> float:
     return min(cuts, key=lambda c: (-round(quality(c), 12), abs(c), c)) / STEPS
 
 
+def folds(labelled: DataFrame, parts: int = FOLDS) -> tuple[DataFrame, DataFrame]:
+    """Labelled texts that fit the models, and the others, that set the threshold.
+
+    One of ``parts`` parts, by the CRC-32 of the text, is held out. Where one of the two would lack a
+    class, all labelled texts do both.
+    """
+    aside = F.crc32("text") % parts == 0
+    seen = labelled.select("verdict", aside.alias("aside")).distinct().count()
+    if seen < 2 * len(CLASSES):
+        return labelled, labelled
+    return labelled.filter(~aside), labelled.filter(aside)
+
+
 def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, order: int = ORDER) -> DataFrame:
     """Columns page_id, host, path, rule, verdict and score for every row of ``pages``.
 
     Rules decide where one fits; else the models do, on host and path with digits made alike, and
     a url without a rule is allowed from the calibrated threshold on. ``score`` is null where a rule
     decided. If no url at all was accepted or none rejected by rules, the threshold is 0. Null urls
-    have empty host and path and are scored like any other. Repeated rows stay.
+    have empty host and path and are scored like any other. Equal strings have equal scores; repeated
+    rows stay. Urls may be of any length: work and memory grow with their characters. Further columns
+    of ``pages``, whatever their names, are not read.
     """
     host, path = url_parts(F.col("url"))
     judged = (
@@ -183,9 +230,10 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, order: int =
         "url-texts",
     )
     labelled = texts.filter(F.col("verdict").isNotNull())
-    model = stored(train(labelled, order), "url-models")
-    scored = stored(scores(texts.select("text").distinct(), model, order), "url-scores")
-    cut = threshold(labelled.join(scored, "text"))
+    fitting, calibrating = folds(labelled)
+    model = stored(train(fitting, order), "url-models")
+    scored = stored(scores(texts, model, order), "url-scores")
+    cut = threshold(calibrating.join(scored, "text"))
     named = F.when(F.col("score") >= cut, CLASSES[0]).otherwise(CLASSES[1])
     return judged.join(scored, "text").select(
         "page_id",

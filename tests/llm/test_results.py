@@ -484,6 +484,25 @@ def test_url_scores_are_brute_force(spark):
     )
 
 
+def test_very_long_urls(spark, docs_of):
+    long = "http://a.info/" + "".join(chr(97 + i * i % 23) for i in range(100_000))
+    urls = ["http://news.org/fr/abc", "http://news.org/fr/abd", "http://spam.net/xx", long, long, "http://a.info/fr/abc"]
+    rows = [(i, u, "x", "y") for i, u in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, text string")
+    found = by_id(url_filter.filter_urls(pages), "page_id")
+    assert len(found) == 6 and found[3].score == found[4].score and len(found[3].path) == 100_001
+    assert found[3].verdict in url_filter.CLASSES
+
+
+def test_threshold_comes_from_urls_that_do_not_train(spark):
+    rows = [(f"{v}{i}", v, 1) for v in url_filter.CLASSES for i in range(40)]
+    labelled = spark.createDataFrame(rows, "text string, verdict string, weight long")
+    fitting, calibrating = ({r.text for r in part.collect()} for part in url_filter.folds(labelled))
+    assert not fitting & calibrating and len(fitting | calibrating) == 80 and 8 <= len(calibrating) <= 24
+    few = labelled.filter("text = 'allow1' or verdict = 'block'")
+    assert [part.count() for part in url_filter.folds(few)] == [41, 41]
+
+
 # Pages
 
 

@@ -5,6 +5,11 @@ labelled pages have outside their article; tags score negative. One linear scan
 contiguous region with the highest sum, and its blocks make the text, without those that are
 menus, adverts, forms and the like. What is in those scores nothing, however long it is.
 
+Some elements are never main text (``nav``, ``form`` and so on). A name in class, id or role only
+raises a doubt, as wrappers of whole articles are called ``has-sidebar`` or ``promo`` too: an element
+in doubt is main text after all if it holds most of what is left of the page and the article, or the
+headline where no article is marked. A ``header`` with a headline in an article belongs to it.
+
 Pages that mark exactly one ``article`` or ``main`` element are the labelled ones: the weights come
 from how many words and tags all of them have inside and outside that element. What a page marks is
 not looked at when it is scored.
@@ -47,12 +52,21 @@ EMPTY = frozenset("hr br img input meta link area base col embed source track wb
 MARKED = ("article", "main")
 # Elements and words of class, id and role that are never main text.
 ASIDE = frozenset("nav header footer aside form menu dialog button".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ASIDE_NAME = re.compile(
     r"""(?i)(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|menu|nav\w*|breadcrumbs?|sidebar|footer|header
     |masthead|comments?|disqus|replies|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|share|sharing
     |social|related|widget|toolbar|search|login|signup|contentinfo|complementary)(?=$|[\s_-])""",
     re.VERBOSE,
 )
+# Names that tell what a page has or how it stands, and names of headlines and subjects: no doubt.
+STATE_NAME = re.compile(
+    r"""(?i)(?<![^\s])(?:(?:has|no|with|without|hide|show|is)[_-]\S+|\S+[_-](?:with|without|has|no)[_-]\S+
+    |\S+[_-](?:open|opened|closed|active|visible|hidden|enabled|disabled|on|off)
+    |(?:entry|post|article|story|content)[_-]+header
+    |shar(?:e|ing)[_-]+(?:prices?|holders?|markets?|capital|economy))(?![^\s])""",
+    re.VERBOSE,
+)
 NAMES = re.compile(r"""(?i)(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 # Bounds of the weights, so that no single kind of block decides alone.
 WORD_WEIGHT = (-1.0, 1.0)
@@ -60,13 +74,31 @@ TAG_WEIGHT = (-0.5, -0.02)
 PRIOR = 50.0
 
 
+@dataclass
+class Doubt:
+    """An element that may not be main text, and what it holds."""
+
+    outer: Doubt | None
+    headline: bool  # a header in an article; else an element with a doubtful name
+    own: int = 0  # words outside inner doubts
+    words: int = 0
+    marked: int = 0
+    headings: int = 0
+    first_headings: int = 0
+    aside: bool = True
+
+
 @dataclass
 class Block:
-    """Text between two block tags: its kind, its pieces and the tags in front of it."""
+    """Text between two block tags: its kind, its pieces and the tags in front of it.
+
+    ``aside`` says that it is never main text, ``marked`` that an article or main element is around.
+    """
 
     kind: str
     aside: bool
     marked: bool
+    doubt: Doubt | None = None
     pieces: list[str] = field(default_factory=list)
     tags: list[str] = field(default_factory=list)
 
@@ -74,28 +106,30 @@ class Block:
         return " ".join(html.unescape("".join(self.pieces)).split())
 
 
-def _is_aside(tag: str, attributes: str) -> bool:
-    if tag in ASIDE:
-        return True
-    if tag in ("html", "body", *MARKED) or not attributes:
+def _doubtful(tag: str, attributes: str) -> bool:
+    """Whether class, id or role name something that is no main text."""
+    if tag in ("html", "body") or not attributes:
         return False
     named = " ".join("".join(m) for m in NAMES.findall(attributes))
-    return bool(named and ASIDE_NAME.search(named))
+    return bool(named and ASIDE_NAME.search(STATE_NAME.sub(" ", named)))
 
 
-def tokens(page: str) -> Iterator[re.Match]:
-    """Tags and texts of a page in order, without hidden elements.
+def tokens(page: str) -> Iterator[tuple[str | None, str, bool, str]]:
+    """Texts and tags of a page in order, without hidden elements: text, or tag, end and attributes.
 
     An svg element ends in front of a block tag, as browsers have it; other hidden ones only do
-    where no end tag follows. A self-closed svg is empty.
+    where no end tag follows. A self-closed svg is empty. Behind the last ``>`` all is text.
     """
-    at, ends = 0, {}
+    at, ends, last = 0, {}, page.rfind(">")
     while at < len(page):
+        if at > last and not page.startswith("<!--", at):
+            yield page[at:].partition("<!--")[0], "", False, ""
+            return
         token = TOKEN.match(page, at)
         at = token.end()
         name = (token["hidden"] or "").lower()
         if not name:
-            yield token
+            yield token["text"], (token["tag"] or "").lower(), bool(token["end"]), token["rest"] or ""
             continue
         if name == "svg" and page[at - 2] == "/":
             continue
@@ -109,20 +143,42 @@ def tokens(page: str) -> Iterator[re.Match]:
             at = end.end()
 
 
-def blocks(page: str) -> Iterator[Block]:
-    """The blocks of a page in order. ``kind`` is the innermost block element, ``aside`` whether it
-    or one around it is never main text, ``marked`` whether an article or main element is around."""
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]
-    now = Block("", False, False)
-    for token in tokens(page):
-        text = token["text"]
+@dataclass
+class Element:
+    """An open block element."""
+
+    tag: str = ""
+    aside: bool = False
+    marked: bool = False
+    doubt: Doubt | None = None
+
+
+def _opened(tag: str, attributes: str, around: Element) -> Element:
+    """The element that a tag opens inside another one."""
+    doubt, aside = around.doubt, around.aside
+    if tag == "header" and around.marked:
+        doubt = Doubt(doubt, headline=True)
+    elif tag in ASIDE:
+        aside = True
+    elif not aside and _doubtful(tag, attributes):
+        doubt = Doubt(doubt, headline=False)
+    return Element(tag, aside, around.marked or tag in MARKED, doubt)
+
+
+def blocks(page: str) -> list[Block]:
+    """The blocks of a page in order. ``kind`` is the innermost block element.
+
+    Work and memory grow with the page, however deep it is nested and whatever end tags are astray.
+    """
+    stack, opened = [Element()], Counter()
+    found, doubts, now = [], [], Block("", False, False)
+    marked = first_headings = 0
+    for text, tag, ends, attributes in tokens(page):
         if text is not None:
             now.pieces.append(text)
             continue
-        tag = (token["tag"] or "").lower()
         if not tag:
             continue
-        ends = bool(token["end"])
         if tag not in BLOCKS:
             if tag == "br":
                 now.pieces.append(" ")
@@ -131,28 +187,83 @@ def blocks(page: str) -> Iterator[Block]:
             if tag != "button":
                 continue
         if now.pieces:
-            yield now
+            found.append(now)
             now = Block("", False, False)
         if ends:
-            if any(name == tag for name, _, _ in stack):
-                while stack[-1][0] != tag:
-                    stack.pop()
-                stack.pop()
+            if opened[tag]:
+                while True:
+                    closed = stack.pop().tag
+                    opened[closed] -= 1
+                    if closed == tag:
+                        break
         elif tag not in EMPTY:
-            if tag in ALONE and stack[-1][0] == tag:
-                stack.pop()
-            _, aside, marked = stack[-1]
-            stack.append((tag, aside or _is_aside(tag, token["rest"]), marked or tag in MARKED))
+            if tag in ALONE and stack[-1].tag == tag:
+                opened[stack.pop().tag] -= 1
+            around = stack[-1]
+            element = _opened(tag, attributes, around)
+            stack.append(element)
+            opened[tag] += 1
+            doubt = element.doubt
+            if doubt is not None and doubt is not around.doubt:
+                doubts.append(doubt)
+            if not element.aside:
+                if tag in MARKED and not around.marked and doubt is around.doubt:
+                    marked += 1
+                    if doubt:
+                        doubt.marked += 1
+                if tag == "h1":
+                    first_headings += 1
+                if doubt and tag in HEADINGS:
+                    doubt.headings += 1
+                    doubt.first_headings += tag == "h1"
         if not ends:
             now.tags.append(tag)
-        now.kind, now.aside, now.marked = stack[-1]
+        inner = stack[-1]
+        now.kind, now.aside, now.marked, now.doubt = inner.tag, inner.aside, inner.marked, inner.doubt
     if now.pieces:
-        yield now
+        found.append(now)
+    if doubts:
+        _settle(found, doubts, marked, first_headings)
+    return found
+
+
+def _settle(parts: list[Block], doubts: list[Doubt], marked: int, first_headings: int) -> None:
+    """Decide which elements in doubt are main text, the largest first, and mark the blocks."""
+    plain = 0
+    for part in parts:
+        if not part.aside:
+            count = len(part.text().split())
+            if part.doubt:
+                part.doubt.own += count
+            else:
+                plain += count
+    for doubt in reversed(doubts):  # inner ones come later
+        doubt.words += doubt.own
+        outer = doubt.outer
+        if outer:
+            outer.words += doubt.words
+            outer.marked += doubt.marked
+            outer.headings += doubt.headings
+            outer.first_headings += doubt.first_headings
+    for doubt in sorted(doubts, key=lambda d: -d.words):  # stable: outer ones stay in front
+        if doubt.outer and doubt.outer.aside:
+            continue
+        if doubt.headline:
+            doubt.aside = not doubt.headings
+        elif marked:
+            doubt.aside = not (doubt.marked == marked and doubt.words > plain)
+        elif first_headings:
+            doubt.aside = not (doubt.first_headings == first_headings and doubt.words > plain)
+        if not doubt.aside:
+            plain += doubt.own
+    for part in parts:
+        if part.doubt and part.doubt.aside:
+            part.aside = True
 
 
 def count_kinds(page: str) -> Counter:
     """Words and tags by (sort, kind, inside) of a page that marks one element; else nothing."""
-    parts = list(blocks(page))
+    parts = blocks(page)
     found: Counter = Counter()
     if sum(tag in MARKED for part in parts for tag in part.tags) != 1:
         return found
@@ -248,7 +359,9 @@ def extract_text(pages: DataFrame, weights: dict[tuple[str, str], float] | None
     White space inside a block becomes one space, character references are decoded, blocks are
     joined by two line ends. Null or empty pages, and pages where nothing scores positive, have an
     empty text. Without ``weights``, they are learned from ``pages``; without labelled pages among
-    them, every word outside menus and the like counts as text. Repeated rows stay.
+    them, every word outside menus and the like counts as text. Of regions with equal sums the longer
+    one is taken, of equally long ones the first. Repeated rows stay; further columns of ``pages`` are
+    not read. Pages may be of any length and depth.
     """
     weights = learn_weights(pages) if weights is None else weights
     wanted = pages.select("page_id", "url", "html")

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -544,6 +545,44 @@ def test_long_asides_cut_nothing_off(spark, around):
     assert "The first lines." in found and "The last lines." in found and "entry" not in found
 
 
+WRAPPERS = ("layout has-sidebar", "no-sidebar", "menu-open", "content-with-comments", "post share-price", "promo", "search")
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+@pytest.mark.parametrize("element", ("article", "main", None))
+def test_wrappers_keep_their_article(name, element):
+    inner = "<h1>The headline</h1><p>Some words of the text.</p><p>And more of them.</p>"
+    inner = f"<{element}>{inner}</{element}>" if element else inner
+    comments = f'<div class="comments"><article class="comment">{"reader words " * 60}</article></div>'
+    page = f"""<body><nav>a menu</nav><div class="cookie-notice">We use cookies</div><div class="{name}">{inner}
+    <div class="sidebar"><p>side words</p></div>{comments}</div><footer>us</footer></body>"""
+    assert html_text.main_text(page, {}) == "The headline\n\nSome words of the text.\n\nAnd more of them."
+
+
+def test_long_comments_are_no_article():
+    many = "<p>what a reader says about it</p>" * 200
+    for text in ("<article><p>The text.</p></article>", "<h1>The</h1><p>text.</p>", "<p>The text.</p>"):
+        for around in ('section id="comments"', 'div class="reader-comments"'):
+            page = f"<body>{text}<{around}>{many}</{around.split()[0]}></body>"
+            assert html_text.main_text(page, {}).split() == ["The", "text."]
+
+
+def test_headlines_in_headers():
+    page = """<header><h1>Site</h1></header><article><header><h1>T</h1></header><p>x y</p>
+    <div class="entry-header"><h2>U</h2></div><header>no headline</header><footer>z</footer></article>"""
+    assert html_text.main_text(page, {}) == "T\n\nx y\n\nU"
+
+
+def test_pages_of_any_depth_take_linear_time():
+    deep = "<div>" * 50_000 + "<p>text</p>" + "</section></span>" * 100_000
+    doubts = "<div class='sidebar'>" * 50_000 + "<h1>text</h1>"
+    pages = [deep, doubts, "<p>text</p>" + "<a " * 100_000, "<p>text</p>" + '<title "' * 100_000]
+    start = time.process_time()
+    texts = [html_text.main_text(page, {}) for page in pages]
+    assert time.process_time() - start < 20
+    assert [t.split()[0] for t in texts] == ["text"] * 4
+
+
 def test_hidden_elements_end():
     text = lambda page: html_text.main_text(page, {})
     assert text('<p>a <svg class="i"/>b</p><p>c</p>') == "a b\n\nc"

@@ -23,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -102,9 +103,14 @@ class Block:
     pieces: list[str] = field(default_factory=list)
     tags: list[str] = field(default_factory=list)
 
+    @cached_property
     def text(self) -> str:
         return " ".join(html.unescape("".join(self.pieces)).split())
 
+    @property
+    def words(self) -> int:
+        return self.text.count(" ") + 1 if self.text else 0
+
 
 def _doubtful(tag: str, attributes: str) -> bool:
     """Whether class, id or role name something that is no main text."""
@@ -232,7 +238,7 @@ def _settle(parts: list[Block], doubts: list[Doubt], marked: int, first_headings
     plain = 0
     for part in parts:
         if not part.aside:
-            count = len(part.text().split())
+            count = part.words
             if part.doubt:
                 part.doubt.own += count
             else:
@@ -270,7 +276,7 @@ def count_kinds(page: str) -> Counter:
     for part in parts:
         inside = part.marked and not part.aside
         if not part.aside:
-            found["word", part.kind, inside] += len(part.text().split())
+            found["word", part.kind, inside] += part.words
         for tag in part.tags:
             found["tag", tag, inside] += 1
     return found
@@ -340,15 +346,13 @@ def main_text(page: str, weights: dict[tuple[str, str], float]) -> str:
     for part in blocks(page):
         if part.aside:  # left out anyway: neither parts a region nor adds to one
             continue
-        text = part.text()
         for tag in part.tags:
             kind = tag if tag in BLOCKS else "other"
             scores.append(weights.get(("tag", kind), TAG_WEIGHT[1]))
             owners.append(None)
-        count = text.count(" ") + 1 if text else 0
-        if count:
-            scores.append(count * weights.get(("word", part.kind), WORD_WEIGHT[1]))
-            owners.append(text)
+        if part.words:
+            scores.append(part.words * weights.get(("word", part.kind), WORD_WEIGHT[1]))
+            owners.append(part.text)
     start, end = best_region(scores)
     return "\n\n".join(text for text in owners[start:end] if text)
 

@@ -1,7 +1,8 @@
 """Toxicity by weak supervision.
 
-1. *Voters.* Words and word starts that labelled documents show mostly on one side, together with a
-   short built-in lexicon and a pattern. Voters vote "toxic" or abstain.
+1. *Voters.* A short built-in lexicon and a pattern, and words and word starts that labelled
+   documents show mostly on one side. Voters vote "toxic" or abstain. Entries of the lexicon that the
+   sample shows are judged like all others; only those it never shows have a given weight.
 2. *Label model.* A latent label per document, voters with unknown accuracies. EM estimates how
    often each voter fires for either label. Voters that agree more than the label explains are
    correlated (a word and its start, say); their evidence is divided by the size of the correlated
@@ -44,6 +45,9 @@ LEXICON = (
 ).split()
 PATTERN = re.compile(r"(?:^|\W)(?:you(?:'re| are) (?:an? )?(?:idiot|moron|clown|loser)|shut up)\b")
 WORD = re.compile(r"[^\W\d_]+")
+GIVEN_VOTERS = frozenset({f"={word}" for word in LEXICON} | {"~insult"})
+# Log-odds of "toxic" of an otherwise unknown text with a lexicon entry that the sample does not show.
+UNSEEN_ODDS = 2.0
 
 
 def held_out(doc_id: Column) -> Column:
@@ -82,16 +86,21 @@ def features(text: str) -> set[str]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
-    """``(text, toxic)`` of at most ``rows`` labelled documents outside the held-out fold."""
+    """``(text, toxic)`` of at most ``rows`` labelled documents outside the held-out fold.
+
+    An id counts once: as toxic if any of its labels says so, and with the smallest of its texts in
+    the order of their bytes, however often labels and documents repeat it.
+    """
     known = (
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-        .select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     )
     picked = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(rows)
     picked = stored(picked, "label-sample")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(small(picked, SAMPLE), "doc_id").select("text", "toxic")
+    found = texts.join(small(picked, SAMPLE), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).drop("doc_id")
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +115,8 @@ def pick_features(sample: DataFrame, most: int = FEATURES) -> list[tuple[str, in
     """The features with the strongest tie to a label: (feature, toxic documents, other documents).
 
     Strength is the log-likelihood gain of knowing the feature; ties go by name. A gain that chance
-    gives to one of so many features (below the logarithm of their number) counts as none.
+    gives to one of so many features (below the logarithm of their number) counts as none. Entries of
+    the lexicon and the pattern come first, whatever their tie: the label model is to judge them.
     """
     totals = sample.agg(
         F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"), F.count(F.lit(1)).alias("rows")
@@ -115,7 +125,8 @@ def pick_features(sample: DataFrame, most: int = FEATURES) -> list[tuple[str, in
         sample.select(F.explode("found").alias("feature"), "toxic")
         .groupBy("feature")
         .agg(F.sum("toxic").alias("n1"), F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") >= LEAST_DOCUMENTS)
+        .withColumn("given", F.col("feature").isin(*sorted(GIVEN_VOTERS)))
+        .filter(F.col("given") | (F.col("n") >= LEAST_DOCUMENTS))
     )
     known = totals.first()
     if not known.toxic or known.toxic == known.rows:
@@ -126,8 +137,8 @@ def pick_features(sample: DataFrame, most: int = FEATURES) -> list[tuple[str, in
         (1 - inside) / (1 - rate)
     )
     counts = stored(counts.withColumn("gain", F.round(gain, 9)), "feature-counts")
-    strong = counts.filter(F.col("gain") >= math.log(max(1, counts.count())))
-    rows = strong.orderBy(F.desc("gain"), "feature").limit(most).collect()
+    strong = counts.filter(F.col("given") | (F.col("gain") >= math.log(max(1, counts.count()))))
+    rows = strong.orderBy(F.desc("given"), F.desc("gain"), "feature").limit(most).collect()
     return [(r.feature, r.n1, r.n - r.n1) for r in rows]
 
 
@@ -269,19 +280,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE, most: int
         sample.mapInArrow(_feature_rows, "found array<string>, toxic int"), "features"
     )
     counted = pick_features(found, most)
-    lexicon = [f"={w}" for w in LEXICON] + ["~insult"]
     if not counted:
-        return Model({f: 4.0 for f in lexicon}, -2.0)
+        return Model({f: 2 * UNSEEN_ODDS for f in sorted(GIVEN_VOTERS)}, -UNSEEN_ODDS)
     picked = [f for f, _, _ in counted]
     votes = collect_votes(found, picked)
     prior = votes.given.mean()
-    # Voters: features that are far more common in toxic documents, strongest first.
-    voters = [i for i, (_, n1, n0) in enumerate(counted) if n1 * (1 - prior) > n0 * prior][:VOTERS]
+    # Voters: lexicon and pattern, then features that are more common in toxic documents, strongest first.
+    voters = [
+        i for i, (f, n1, n0) in enumerate(counted) if f in GIVEN_VOTERS or n1 * (1 - prior) > n0 * prior
+    ][:VOTERS]
     posterior = label_model(votes.only(np.array(voters, dtype=np.int64)), prior)
     weight, bias = fit_classifier(votes, posterior)
     weights = {f: round(float(w), 9) for f, w in zip(picked, weight, strict=True)}
-    for f in lexicon:
-        weights.setdefault(f, 4.0)
+    for f in sorted(GIVEN_VOTERS):
+        weights.setdefault(f, round(max(0.0, UNSEEN_ODDS - bias), 9))
     return Model(weights, round(bias, 9))
 
 
@@ -306,7 +318,9 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE) -> DataFrame:
     """Columns doc_id, held_out, score and predicted for every row of ``docs``.
 
-    Rows without an id belong to the fold of the empty text. Repeated rows get equal scores.
+    Rows without an id belong to the fold of the empty text. Repeated rows get equal scores, reruns
+    the same ones. Null texts count as empty; long ones are read whole, piece by piece. Further
+    columns are not read. Without labels, the lexicon decides.
     """
     scored = score_documents(docs, fit(docs, labels, sample_rows))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

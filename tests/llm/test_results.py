@@ -659,6 +659,46 @@ def test_toxicity_learns_words_however_many_are_toxic(spark, docs_of, share):
     assert np.mean([found[i].predicted == bad for i, bad in toxic.items() if found[i].held_out]) > 0.95
 
 
+def test_sample_keeps_its_bound_and_one_label_an_id(spark, docs_of):
+    docs = docs_of(*[(1, f"text {i:04d}") for i in range(2_000)], (2, "two"), (3, None), (4, "four"))
+    rows = [(1, 0), (1, 1), (1, 0), (2, 0), (3, 1), (4, None), (None, 1)]
+    labels = spark.createDataFrame(rows, "doc_id long, toxic int")
+    whole = sorted(map(tuple, toxicity.labelled_sample(docs, labels).collect()))
+    fold = {i for i in (1, 2, 3) if zlib.crc32(str(i).encode()) % 5}
+    assert whole == sorted({1: ("text 0000", 1), 2: ("two", 0), 3: ("", 1)}[i] for i in fold)
+    assert toxicity.labelled_sample(docs, labels, 1).count() == 1
+
+
+def test_lexicon_is_judged_by_the_labels(spark, docs_of):
+    random = np.random.default_rng(7)
+    fill = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    toxic = {i: i % 3 == 0 for i in range(600)}
+    rows = [
+        (i, " ".join([*random.choice(fill, 10), *(["stupid"] if i % 2 else []), *(["zorgly"] if bad else [])]))
+        for i, bad in toxic.items()
+    ]
+    labels = spark.createDataFrame([(i, int(bad)) for i, bad in toxic.items()], "doc_id long, toxic int")
+    model = toxicity.fit(docs_of(*rows), labels)
+    assert model.weights["=stupid"] < 0.5 and model.weights["=zorgly"] > 1
+    found = by_id(toxicity.toxicity(docs_of(*rows, (700, "a stupid thing"), (701, "you moron")), labels))
+    assert (found[700].predicted, found[701].predicted) == (0, 1)
+
+
+def test_wrong_labels_are_outvoted(spark, docs_of):
+    random = np.random.default_rng(11)
+    fill = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    bad_words = ["zorgly", "brackle", "snivet", "quaddle", "mirkle"]
+    toxic = {i: i % 3 == 0 for i in range(900)}
+    rows = [
+        (i, " ".join([*random.choice(fill, 10), *([w for w in bad_words if random.random() < 0.8] if bad else [])]))
+        for i, bad in toxic.items()
+    ]
+    wrong = {i for i in toxic if i % 10 in (3, 6)}  # a fifth of all labels
+    labels = spark.createDataFrame([(i, int(bad != (i in wrong))) for i, bad in toxic.items()], "doc_id long, toxic int")
+    found = by_id(toxicity.toxicity(docs_of(*rows), labels))
+    assert np.mean([found[i].predicted == bad for i, bad in toxic.items() if i in wrong]) > 0.9
+
+
 def test_label_model_finds_accurate_voters_and_discounts_copies():
     random = np.random.default_rng(5)
     truth = random.random(3_000) < 0.3

@@ -157,6 +157,14 @@ def _checks() -> dict[str, Check]:
         options={"debut_range": (date(2024, 1, 1), date(2024, 1, 31))},
         ledger=state,
     )
+    # Distinct counts as unions of the bitmaps of days.
+    for name, period in (
+        ("user_growth_weekly", "all_time"),
+        ("invocation_growth_weekly", "last_week"),
+        ("transaction_growth_weekly", "last_month"),
+        ("active_users_by_ledger", "last_month"),
+    ):
+        checks[f"{name}__day_keys"] = Check(name, "clicks", period, ledger={"day_keys": True})
     return checks
 
 

@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom import constants as C
 from ledgerloom.operators.deployments import evm_deployments
-from ledgerloom.plans.growth import add_day_counts
+from ledgerloom.plans.growth import add_day_counts, add_day_keys
 from ledgerloom.session import configure
-from ledgerloom.sources import DayManifest, FirstSeen, Ledger, add_first_seen
+from ledgerloom.sources import DayKeys, DayManifest, FirstSeen, Ledger, add_first_seen
 from ledgerloom.sources.market import read_market_chart
 from ledgerloom.sources.schemas import checked
 
@@ -241,12 +241,23 @@ def _with_state(spark: SparkSession, ledger: Ledger) -> Ledger:
     return ledger
 
 
+def _with_day_keys(spark: SparkSession, ledger: Ledger) -> Ledger:
+    """``ledger`` with a manifest and the keys of its days."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    path = f"{folder}/state-{uuid.uuid4().hex}"
+    ledger.manifest, ledger.day_keys = DayManifest(spark, f"{path}/manifest"), DayKeys(spark, f"{path}/keys")
+    add_day_counts(ledger.manifest, ledger)
+    add_day_keys(ledger.day_keys, ledger)
+    return ledger
+
+
 def spark_ledger(spark: SparkSession, sf_dir: str, world: str = "chain", **options) -> Ledger:
     """The views over the Parquet files in ``sf_dir``, as a ledger.
 
-    ``state=True`` adds the tables that are kept beside the facts.
+    ``state=True`` adds the first-seen state and the manifest that are kept beside the facts,
+    ``day_keys=True`` the manifest and the keys of days.
     """
-    state = options.pop("state", False)
+    state, day_keys = options.pop("state", False), options.pop("day_keys", False)
     configure(spark)
     views, _, genesis = WORLDS[world]
 
@@ -268,4 +279,6 @@ def spark_ledger(spark: SparkSession, sf_dir: str, world: str = "chain", **optio
         return view(name)
 
     ledger = Ledger(opener, genesis=genesis, **options)
+    if day_keys:
+        return _with_day_keys(spark, ledger)
     return _with_state(spark, ledger) if state else ledger

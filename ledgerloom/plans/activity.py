@@ -14,6 +14,7 @@ from ledgerloom.operators.accounts import all_accounts, evm_accounts, native_acc
 from ledgerloom.operators.combining import stack
 from ledgerloom.operators.ranking import first_seen
 from ledgerloom.sources.ledger import Ledger
+from ledgerloom.sources.state import ACCOUNT_KINDS, count_keys, whole_days
 
 
 def transactions_over_time(
@@ -98,15 +99,19 @@ def active_users_by_ledger(
     cut = floor_date(as_of, "week") if compat_week_cut else None
     read = span.until(ceil_date(cut, span.grain) if cut else None)
     bucket = span.bucket().alias("day")
+    sides = (
+        (native_accounts, ACCOUNT_KINDS["native"], C.NATIVE_LABEL),
+        (evm_accounts, ACCOUNT_KINDS["evm"], C.EVM_LABEL),
+    )
+
+    def count(accounts, kind: str) -> DataFrame:
+        if ledger.day_keys is not None and span.grain != "hour":
+            days = whole_days(ledger.day_keys.days(kind, "account"), read)
+            return count_keys(days, F.date_trunc(span.grain, "block_date"), "day", "users")
+        return accounts(ledger, read, bucket).groupBy("day").agg(F.countDistinct("account").alias("users"))
+
     users = stack(
-        *(
-            accounts.groupBy("day", F.lit(label).alias("ledger"))
-            .agg(F.countDistinct("account").alias("users"))
-            for accounts, label in (
-                (native_accounts(ledger, read, bucket), C.NATIVE_LABEL),
-                (evm_accounts(ledger, read, bucket), C.EVM_LABEL),
-            )
-        )
+        *(count(accounts, kind).withColumn("ledger", F.lit(label)) for accounts, kind, label in sides)
     )
     closed = F.when(F.col("day") < midnight(span.end), F.col("ledger"))
     rows = (

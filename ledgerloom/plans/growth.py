@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +17,10 @@ from ledgerloom.functions.measures import (
     trailing_mean,
 )
 from ledgerloom.functions.periods import Span, ceil_date, midnight, report_start, today, within
+from ledgerloom.operators.accounts import evm_accounts, native_accounts
 from ledgerloom.operators.combining import align, stack
 from ledgerloom.sources.ledger import Ledger
-from ledgerloom.sources.state import DayManifest
-
+from ledgerloom.sources.state import ACCOUNT_KINDS, DayKeys, DayManifest, count_keys
 
 # The rows that growth counts, by kind: table and condition.
 COUNTED = {
@@ -40,40 +41,92 @@ def add_day_counts(manifest: DayManifest, ledger: Ledger, span: Span = Span()) -
         manifest.add(kind, within(counted(ledger, kind), span))
 
 
-def _from_last_week_before(monday: date, ledger: Ledger, kinds: Sequence[str]) -> list[DataFrame]:
-    """The rows of each kind from the last week before ``monday`` on that any kind has rows in.
+# The columns whose distinct values are counted, by kind.
+COUNTED_KEYS = {
+    "native_user_event": ("event_from", "event_contract"),
+    "native_invocation": ("event_contract",),
+    "evm_contract_call": ("from_address", "to_address"),
+}
+
+
+def add_day_keys(day_keys: DayKeys, ledger: Ledger, span: Span = Span()) -> None:
+    """Add the days of ``span`` (default: all) of ``ledger`` to ``day_keys``: what growth and
+    ``active_users_by_ledger`` count."""
+    for kind, columns in COUNTED_KEYS.items():
+        for column in columns:
+            day_keys.add(kind, column, within(counted(ledger, kind), span))
+    time = F.col("block_timestamp")
+    day_keys.add(ACCOUNT_KINDS["native"], "account", native_accounts(ledger, span, time))
+    day_keys.add(ACCOUNT_KINDS["evm"], "account", evm_accounts(ledger, span, time))
+
+
+# Instead of a column to count distinct values of: count rows.
+ROWS = "*"
+
+
+def _weeks_of_facts(ledger: Ledger, kind: str, measures: Mapping[str, str], since: Column | None) -> DataFrame:
+    rows = counted(ledger, kind)
+    if since is not None:
+        rows = rows.filter(F.col("block_timestamp") >= since)
+        if "block_date" in rows.columns:
+            rows = rows.filter(F.col("block_date") >= since.cast("date"))
+    return rows.groupBy(Span(grain="week").bucket().alias("week")).agg(
+        *(
+            (F.count(F.lit(1)) if column == ROWS else F.countDistinct(column)).alias(name)
+            for name, column in measures.items()
+        )
+    )
+
+
+def _weeks_of_days(ledger: Ledger, kind: str, measures: Mapping[str, str], since: Column | None) -> DataFrame:
+    """The same from the row counts and bitmaps of days."""
+    week = F.date_trunc("week", "block_date")
+
+    def bounded(days: DataFrame) -> DataFrame:
+        return days if since is None else days.filter(F.col("block_date") >= since.cast("date"))
+
+    def alone(counts: DataFrame, names: Sequence[str]) -> DataFrame:
+        return counts.select(
+            "week", *(F.col("n").alias(m) if m in names else F.lit(0).alias(m) for m in measures)
+        )
+
+    rows = bounded(ledger.manifest.days(kind)).groupBy(week.alias("week")).agg(F.sum("n").alias("n"))
+    parts = [alone(rows, [name for name, column in measures.items() if column == ROWS])]
+    for name, column in measures.items():
+        if column != ROWS:
+            days = bounded(ledger.day_keys.days(kind, column))
+            parts.append(alone(count_keys(days, week, "week", "n"), [name]))
+    every = reduce(DataFrame.unionByName, parts)
+    return every.groupBy("week").agg(*(F.sum(name).alias(name) for name in measures))
+
+
+def _last_week_before(monday: date, ledger: Ledger, kinds: Sequence[str]) -> Column:
+    """The last week before ``monday`` that any of ``kinds`` has rows in; without one, ``monday``.
 
     That week may be arbitrarily old. The ledger's manifest has it; without one,
     a maximum without a shuffle finds it. As a scalar subquery it bounds the
     scans of the distinct counts.
     """
-    sides = [counted(ledger, kind) for kind in kinds]
     if ledger.manifest is not None:
         days = ledger.manifest.latest(kinds, monday)
     else:
         days = stack(
             *(
-                within(side, Span(None, monday)).agg(F.max("block_timestamp").alias("latest"))
-                for side in sides
+                within(counted(ledger, kind), Span(None, monday)).agg(
+                    F.max("block_timestamp").alias("latest")
+                )
+                for kind in kinds
             )
         )
     latest = days.agg(F.coalesce(F.date_trunc("week", F.max("latest")), midnight(monday)).alias("week"))
-
-    def bounded(side: DataFrame) -> DataFrame:
-        since = latest.scalar()
-        side = side.filter(F.col("block_timestamp") >= since)
-        if "block_date" in side.columns:
-            side = side.filter(F.col("block_date") >= since.cast("date"))
-        return side
-
-    return [bounded(side) for side in sides]
+    return latest.scalar()
 
 
 def _growth(
     ledger: Ledger,
     native_kind: str,
-    native_measures: Sequence[Column],
-    evm_measures: Sequence[Column],
+    native_measures: Mapping[str, str],
+    evm_measures: Mapping[str, str],
     *,
     period: str,
     as_of: date | None,
@@ -89,14 +142,14 @@ def _growth(
     """
     since = report_start(period, as_of or today())
     kinds = (native_kind, "evm_contract_call")
-    if since is not None:
-        native, evm = _from_last_week_before(ceil_date(since, "week"), ledger, kinds)
-    else:
-        native, evm = (counted(ledger, kind) for kind in kinds)
-    week = Span(grain="week").bucket().alias("week")
-    weeks = align(
-        native.groupBy(week).agg(*native_measures), evm.groupBy(week).agg(*evm_measures), "week"
+    first = None if since is None else _last_week_before(ceil_date(since, "week"), ledger, kinds)
+    kept = ledger.manifest is not None and ledger.day_keys is not None
+    weekly = _weeks_of_days if kept else _weeks_of_facts
+    native, evm = (
+        weekly(ledger, kind, measures, first)
+        for kind, measures in zip(kinds, (native_measures, evm_measures), strict=True)
     )
+    weeks = align(native, evm, "week")
     for name, (left, right) in sums.items():
         weeks = weeks.withColumn(name, F.col(left) + F.col(right))
     total = F.col(growth_of)
@@ -118,14 +171,14 @@ def user_growth_weekly(
     return _growth(
         ledger,
         "native_user_event",
-        [
-            F.countDistinct("event_from").alias("cadence_users"),
-            F.countDistinct("event_contract").alias("cadence_contracts"),
-        ],
-        [
-            F.countDistinct("from_address").alias("evm_users"),
-            F.countDistinct("to_address").alias("evm_contracts"),
-        ],
+        {
+            "cadence_users": "event_from",
+            "cadence_contracts": "event_contract",
+        },
+        {
+            "evm_users": "from_address",
+            "evm_contracts": "to_address",
+        },
         period=period,
         as_of=as_of,
         sums={"total_active_users": ("cadence_users", "evm_users")},
@@ -159,14 +212,14 @@ def invocation_growth_weekly(
     return _growth(
         ledger,
         "native_invocation",
-        [
-            F.count(F.lit(1)).alias("cadence_invocations"),
-            F.countDistinct("event_contract").alias("unique_cadence_contracts"),
-        ],
-        [
-            F.count(F.lit(1)).alias("evm_invocations"),
-            F.countDistinct("to_address").alias("unique_evm_contracts"),
-        ],
+        {
+            "cadence_invocations": ROWS,
+            "unique_cadence_contracts": "event_contract",
+        },
+        {
+            "evm_invocations": ROWS,
+            "unique_evm_contracts": "to_address",
+        },
         period=period,
         as_of=as_of,
         sums={
@@ -196,14 +249,14 @@ def transaction_growth_weekly(
     return _growth(
         ledger,
         "native_user_event",
-        [
-            F.count(F.lit(1)).alias("cadence_transactions"),
-            F.countDistinct("event_contract").alias("cadence_contracts"),
-        ],
-        [
-            F.count(F.lit(1)).alias("evm_transactions"),
-            F.countDistinct("to_address").alias("evm_contracts"),
-        ],
+        {
+            "cadence_transactions": ROWS,
+            "cadence_contracts": "event_contract",
+        },
+        {
+            "evm_transactions": ROWS,
+            "evm_contracts": "to_address",
+        },
         period=period,
         as_of=as_of,
         sums={"total_transactions": ("cadence_transactions", "evm_transactions")},

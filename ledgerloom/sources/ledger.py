@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom import constants as C
 from ledgerloom.functions.periods import Span, within
 from ledgerloom.sources.schemas import TABLES, checked
-from ledgerloom.sources.state import DayManifest, FirstSeen
+from ledgerloom.sources.state import DayKeys, DayManifest, FirstSeen
 
 
 class Ledger:
@@ -27,9 +27,10 @@ class Ledger:
         Range filters then apply to both sides of a transaction-event join, so
         neither side is read outside the range. Results do not change when the
         statement is true, which the caller vouches for.
-    first_seen, manifest
+    first_seen, manifest, day_keys
         Tables kept beside the facts (see :mod:`~.state`), which must hold the
-        same days as these. Metrics that look back read them instead of history.
+        same days as these. Metrics that look back read them instead of history;
+        weekly and monthly distinct counts read ``manifest`` and ``day_keys``.
     """
 
     def __init__(
@@ -40,6 +41,7 @@ class Ledger:
         shared_block_time: bool = False,
         first_seen: FirstSeen | None = None,
         manifest: DayManifest | None = None,
+        day_keys: DayKeys | None = None,
     ):
         self._opener = opener
         self._open: dict[str, DataFrame] = {}
@@ -47,6 +49,7 @@ class Ledger:
         self.shared_block_time = shared_block_time
         self.first_seen = first_seen
         self.manifest = manifest
+        self.day_keys = day_keys
 
     @classmethod
     def from_frames(cls, frames: Mapping[str, DataFrame], **options) -> "Ledger":

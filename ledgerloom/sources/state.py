@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerloom.functions.periods import Span, within
 
@@ -25,6 +26,15 @@ def _replace_days(df: DataFrame, path: str) -> None:
     )
 
 
+def whole_days(days: DataFrame, span: Span) -> DataFrame:
+    """The rows of ``days`` whose ``block_date`` is inside ``span``; the files of other days are not read."""
+    if span.start is not None:
+        days = days.filter(F.col("block_date") >= F.lit(span.start))
+    if span.end is not None:
+        days = days.filter(F.col("block_date") < F.lit(span.end))
+    return days
+
+
 # What metrics look up: accounts and native contracts by their rows, EVM deployments by their day.
 ACCOUNT_KINDS = {"native": "native_account", "evm": "evm_account"}
 CONTRACT_KIND = "native_contract"
@@ -66,10 +76,7 @@ class FirstSeen:
         """
         schema = f"{self._keys[kind]}, first timestamp, block_date date"
         days = self._spark.read.schema(schema).parquet(f"{self._path}/{kind}")
-        if span.start is not None:
-            days = days.filter(F.col("block_date") >= F.lit(span.start))
-        if span.end is not None:
-            days = days.filter(F.col("block_date") < F.lit(span.end))
+        days = whole_days(days, span)
         keys = [c for c in days.columns if c not in ("first", "block_date")]
         return days.groupBy(*keys).agg(F.min("first").alias("first"))
 
@@ -78,6 +85,7 @@ class DayManifest:
     """How many rows of each kind a day has: one row per day and kind.
 
     Like :class:`FirstSeen` it takes whole days and replaces them; a day without rows is not in it.
+    Rows without a time make a day of their own, NULL, which no range of days contains.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -86,23 +94,103 @@ class DayManifest:
 
     def add(self, kind: str, rows: DataFrame) -> None:
         day = F.to_date("block_timestamp").alias("block_date")
-        counts = rows.filter("block_timestamp IS NOT NULL").groupBy(day).agg(F.count(F.lit(1)).alias("n"))
+        counts = rows.groupBy(day).agg(F.count(F.lit(1)).alias("n"))
         _replace_days(counts, f"{self._path}/{kind}")
 
+    def days(self, kind: str) -> DataFrame:
+        """``(block_date, n)`` of every day that has rows of ``kind``."""
+        return self._spark.read.schema("n bigint, block_date date").parquet(f"{self._path}/{kind}")
+
     def latest(self, kinds: Sequence[str], before: date) -> DataFrame:
         """``latest``: the last day before ``before`` on which one of ``kinds`` has rows, as a timestamp."""
-        days = [
-            self._spark.read.schema("n bigint, block_date date")
-            .parquet(f"{self._path}/{kind}")
-            .filter(F.col("block_date") < F.lit(before))
-            for kind in kinds
-        ]
+        days = [self.days(kind).filter(F.col("block_date") < F.lit(before)) for kind in kinds]
         every = days[0]
         for more in days[1:]:
             every = every.union(more)
         return every.filter("n > 0").agg(F.max("block_date").cast("timestamp").alias("latest"))
 
 
+class KeyNumbers:
+    """A number for each key of a kind, given once and kept: nearly dense and from 1 on.
+
+    Keys are dealt to ``slices`` by a hash; the keys of a slice are numbered one after the other and
+    the numbers of all slices interleaved, so no task ever sees all keys. A kind is an append-only
+    table ``<path>/<slices>/<kind>``; it has one writer at a time. Giving numbers to known keys again
+    changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, slices: int = 256):
+        self._spark = spark
+        self._path = f"{path}/{slices}"
+        self._slices = slices
+
+    def table(self, kind: str) -> DataFrame:
+        """``(key, number)`` of all known keys."""
+        path = f"{self._path}/{kind}"
+        schema = "key string, number bigint"
+        self._spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+        return self._spark.read.schema(schema).parquet(path)
+
+    def give(self, kind: str, keys: DataFrame) -> None:
+        """Number the new ones among ``keys``, a column ``key``; NULL gets no number."""
+        known = self.table(kind)
+        slot = F.pmod(F.xxhash64("key"), F.lit(self._slices)).alias("slot")
+        new = keys.filter("key IS NOT NULL").distinct().join(known, "key", "left_anti").select("key", slot)
+        used = known.groupBy(slot).agg(F.count(F.lit(1)).alias("used"))
+        place = F.row_number().over(Window.partitionBy("slot").orderBy("key")) - 1
+        number = (F.coalesce("used", F.lit(0)) + F.col("place")) * self._slices + F.col("slot") + 1
+        (
+            new.withColumn("place", place)
+            .join(used, "slot", "left")
+            .select("key", number.cast("bigint").alias("number"))
+            .write.mode("append")
+            .parquet(f"{self._path}/{kind}")
+        )
+
+
+class DayKeys:
+    """Which keys the rows of each day have, so that longer distinct counts are unions of days.
+
+    A table ``<path>/days/<kind>.<key>`` has a row per day and run of 32,768 key numbers
+    (:class:`KeyNumbers`), with a bitmap of the numbers that occur. A week's or month's exact distinct
+    count is the number of bits in the union of its days; facts are not read, and what is shuffled are
+    bitmaps. Days are replaced as a whole, like those of :class:`FirstSeen`. A day whose rows have
+    NULL keys has a row with an empty bitmap, so it is there with a count of 0.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, slices: int = 256):
+        self._spark = spark
+        self._path = f"{path}/days"
+        self._numbers = KeyNumbers(spark, f"{path}/numbers", slices)
+
+    def add(self, kind: str, key: str, rows: DataFrame) -> None:
+        """Add all ``rows`` of some days, by their column ``key``."""
+        name = f"{kind}.{key}"
+        pairs = rows.select(F.to_date("block_timestamp").alias("block_date"), F.col(key).alias("key")).distinct()
+        self._numbers.give(name, pairs.select("key"))
+        bitmaps = (
+            pairs.join(self._numbers.table(name), "key", "left")
+            .groupBy("block_date", F.bitmap_bucket_number("number").alias("run"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("keys"))
+        )
+        _replace_days(bitmaps, f"{self._path}/{name}")
+
+    def days(self, kind: str, key: str) -> DataFrame:
+        """``(run, keys, block_date)`` of every day that has rows."""
+        schema = "run bigint, keys binary, block_date date"
+        return self._spark.read.schema(schema).parquet(f"{self._path}/{kind}.{key}")
+
+
+def count_keys(days: DataFrame, by: Column, bucket: str, into: str) -> DataFrame:
+    """``(bucket, into)``: distinct keys of rows of :meth:`DayKeys.days` per value of ``by``."""
+    return (
+        days.groupBy(by.alias(bucket), "run")
+        .agg(F.bitmap_count(F.bitmap_or_agg("keys")).alias("n"))
+        .groupBy(bucket)
+        .agg(F.sum("n").alias(into))
+    )
+
+
 def add_first_seen(state: FirstSeen, ledger, deployments, span: Span = Span()) -> None:
     """Add the days of ``span`` (default: all) of ``ledger`` to ``state``.
 

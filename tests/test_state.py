@@ -12,8 +12,9 @@ from ledger_rows import at, rows_of
 from ledgerloom import METRICS, Ledger
 from ledgerloom.functions.periods import Span
 from ledgerloom.operators.deployments import evm_deployments
-from ledgerloom.plans.growth import add_day_counts
-from ledgerloom.sources import DayManifest, FirstSeen, add_first_seen
+from ledgerloom.plans.growth import add_day_counts, add_day_keys
+from ledgerloom.sources import DayKeys, DayManifest, FirstSeen, add_first_seen
+from ledgerloom.sources.state import KeyNumbers
 
 SMALL = "/root/testdata/sf0.001"
 AS_OF = date(2024, 1, 31)
@@ -122,7 +123,87 @@ def test_growth_with_a_manifest_has_no_open_scan(spark):
     assert facts and all(re.search("GreaterThanOrEqual|ubquery", s) for s in facts)
 
 
-@pytest.mark.parametrize("name", [n for n in CHECKS if "__state" in n])
+def _with_keys(spark, path, ledger, spans, slices=3):
+    more = Ledger(ledger.__getitem__, genesis=ledger.genesis)
+    more.manifest, more.day_keys = DayManifest(spark, f"{path}/days"), DayKeys(spark, f"{path}/keys", slices)
+    for span in spans:
+        add_day_counts(more.manifest, ledger, span)
+        add_day_keys(more.day_keys, ledger, span)
+    return more
+
+
+def _counts(ledger):
+    yield METRICS["user_growth_weekly"](ledger, period="all_time", as_of=AS_OF)
+    yield METRICS["transaction_growth_weekly"](ledger, period="last_week", as_of=AS_OF)
+    yield METRICS["active_users_by_ledger"](ledger, period="last_month", as_of=AS_OF)
+
+
+def _same_counts(left, right):
+    for a, b in zip(_counts(left), _counts(right), strict=True):
+        assert a.schema.simpleString() == b.schema.simpleString() and rows_of(a) == rows_of(b)
+
+
+def test_unions_of_days_count_what_the_facts_have(spark, ledger_of, tmp_path):
+    tables = _sample(9)
+    for name in ("native_actor", "native_event", "evm_tx"):
+        tables[name] += [tables[name][0] | {"block_timestamp": None}]
+    ledger = ledger_of(**tables)
+    _same_counts(ledger, _with_keys(spark, tmp_path, ledger, [Span()]))
+
+
+def test_late_rows_of_a_day_change_that_day(spark, ledger_of, tmp_path, days):
+    tables = _sample(10)
+    early = ledger_of(**{name: rows[40:] for name, rows in tables.items()})
+    full = ledger_of(**tables)
+    weeks = [Span(days[35].start, days[48].end), Span(days[0].start, days[34].end)]  # not in their order
+    kept = _with_keys(spark, tmp_path, early, weeks)
+    before = {r["key"]: r["number"] for r in KeyNumbers(spark, f"{tmp_path}/keys/numbers", 3).table("native_account.account").collect()}
+    for span in weeks:
+        add_day_counts(kept.manifest, full, span)
+        add_day_keys(kept.day_keys, full, span)
+    after = {r["key"]: r["number"] for r in KeyNumbers(spark, f"{tmp_path}/keys/numbers", 3).table("native_account.account").collect()}
+    assert before.items() <= after.items()
+    more = Ledger(full.__getitem__, genesis=full.genesis, manifest=kept.manifest, day_keys=kept.day_keys)
+    _same_counts(full, more)
+
+
+def test_day_keys_of_empty_tables(spark, ledger_of, tmp_path):
+    ledger = ledger_of()
+    _same_counts(ledger, _with_keys(spark, tmp_path, ledger, [Span()]))
+
+
+def test_numbers_are_given_once(spark, tmp_path):
+    numbers = KeyNumbers(spark, str(tmp_path), 4)
+    for keys in (range(50), range(30, 300), range(300), []):
+        rows = spark.createDataFrame([(f"k{i}",) for i in keys] + [(None,), (None,)], "key string")
+        numbers.give("x", rows)
+    found = {r["key"]: r["number"] for r in numbers.table("x").collect()}
+    assert len(found) == numbers.table("x").count() == len(set(found.values())) == 300
+    assert min(found.values()) >= 1 and max(found.values()) < 600
+
+
+def test_bitmaps_of_more_than_one_run(spark, ledger_of, tmp_path):
+    rows = [
+        {"tx_hash": f"h{i}", "block_timestamp": at(f"2024-01-{1 + i % 20:02d} 00:00:00"), "from_address": f"0x{i % 40_000}",
+         "to_address": "c", "origin_function_signature": "0x12345678"}
+        for i in range(50_000)
+    ]
+    ledger = ledger_of(evm_tx=rows)
+    kept = _with_keys(spark, tmp_path, ledger, [Span()], slices=8)
+    assert kept.day_keys.days("evm_account", "account").select("run").distinct().count() >= 2
+    for period in ("all_time", "last_month"):
+        a, b = (METRICS["active_users_by_ledger"](x, period=period, as_of=AS_OF) for x in (ledger, kept))
+        assert rows_of(a) == rows_of(b)
+
+
+@pytest.mark.parametrize("name", [n for n in CHECKS if "__day_keys" in n])
+def test_day_keys_read_and_shuffle_no_facts(spark, name):
+    plan = _plan(CHECKS[name].run(spark, SMALL))
+    scans = re.findall(r"FileScan parquet .*", plan)
+    assert scans and all("state-" in s for s in scans) and "Expand" not in plan
+
+
+@pytest.mark.parametrize("name", [n for n in CHECKS if "__state" in n or "__day_keys" in n])
 def test_state_rows_equal_the_rows_of_the_facts(spark, name):
     check = CHECKS[name]
     plain = type(check)(check.metric, check.world, check.period, check.options)

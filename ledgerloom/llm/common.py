@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import gc
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,13 +35,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@cache
+def _local_dir() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, or a local one where it is unset."""
+    """The folder all executors see: ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary one with a local master; a cluster has to name its own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _local_dir()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -78,6 +89,22 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+# Rows that a task takes of a shuffle that needs few tasks.
+ROWS_A_TASK = 4_096
+
+
+def compact(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df``, dealt by ``keys`` over the few tasks that about ``rows`` rows need.
+
+    Iterations come to small tables, for which hundreds of tasks cost more than their rows. Tables
+    that fill the usual number of tasks are left to Spark, which can split a hot key there; here one
+    task gets ``ROWS_A_TASK`` rows for each of the usual tasks at most.
+    """
+    tasks = max(1, math.ceil(rows / ROWS_A_TASK))
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *keys) if tasks < usual else df
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and leave every other letter as it is.
 

@@ -8,6 +8,7 @@ bit; one bit mask holds them all, so groups need no lists and partial aggregatio
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -23,6 +24,7 @@ from .components import connected_components
 SEED = 42
 BITS = 64
 PIECE = 1 << 20
+VARIANTS_A_TASK = 500_000
 WHITE = b" \t\n\x0b\x0c\r"
 LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 
@@ -140,8 +142,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     fingerprints are merged before variants are made, so copies cost nothing there.
     """
     rows = stored(fingerprints(docs, shingle), "fingerprints")
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = connected_components(close_pairs(distinct.select("fp")))
+    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    # Dealt before variants are made, so that tasks follow the variants and not the stored files.
+    tasks = max(1, math.ceil(distinct.count() * (BITS + 1) / VARIANTS_A_TASK))
+    roots = connected_components(close_pairs(distinct.select("fp").repartition(tasks, "fp")))
     grouped = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp")
     )

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.llm import decontamination, toxicity
 from ledgerloom.llm.common import read, stored
 from ledgerloom.llm.mixing import mix_rows
-from ledgerloom.llm.near_dedup import near_dedup
 from ledgerloom.llm.sharding import shard_documents
+from ledgerloom.llm.simhash import without_near_duplicates
 
 
 # Rows of a batch handed to Python. The usual 10,000 whole texts, some of them very long, add up in every task.
@@ -30,9 +30,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each component that links between SimHash fingerprints join."""
     _small_batches(spark)
-    return near_dedup(docs)
+    return without_near_duplicates(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

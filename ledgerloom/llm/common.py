@@ -115,6 +115,26 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+def row_key(docs_id: Column, text: Column) -> Column:
+    """Identifies rows with the same id and text."""
+    return F.md5(F.concat_ws("\x1f", F.coalesce(docs_id.cast("string"), F.lit("-")), text))
+
+
+def without_rows(docs: DataFrame, keys: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``gone`` lists; of rows that share id and text one stays.
+
+    ``keys`` has the ``row_key`` of every row, ``gone`` distinct ones; both are stored tables.
+    """
+    twice = stored(keys.groupBy("row_key").count().filter("count > 1").select("row_key"), "twice")
+    keyed = docs.withColumn("_row_key", row_key(F.col("doc_id"), F.coalesce("text", F.lit(""))))
+    left = keyed.join(small(gone), keyed["_row_key"] == gone["row_key"], "left_anti")
+    if twice.isEmpty():
+        return left.drop("_row_key")
+    again = left.join(small(twice), left["_row_key"] == twice["row_key"], "left_semi")
+    once = left.join(small(twice), left["_row_key"] == twice["row_key"], "left_anti")
+    return once.unionByName(again.dropDuplicates(["_row_key"])).drop("_row_key")
+
+
 def unit_hash(key: Column) -> Column:
     """A stable pseudo-random number in [0, 1) from the MD5 of ``key``; null counts as empty."""
     digits = F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 13)

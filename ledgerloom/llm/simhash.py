@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, stored
+from .common import UPPER, row_key, stored, without_rows
 from .components import connected_components
 
 SEED = 42
@@ -76,19 +76,18 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int(packed.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``(doc_id, fp)``: the fingerprint of each text as a signed 64-bit number; null is empty."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("_bytes"))
+def fingerprints(docs: DataFrame, shingle: int = 3, along: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``along`` and fp: the fingerprint of each text as a signed 64-bit number; null is empty."""
+    texts = docs.select(*along, F.coalesce("text", F.lit("")).cast("binary").alias("_bytes"))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(raw.as_py(), shingle) for raw in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"]
-            )
+            *kept, raws = batch.columns
+            found = [fingerprint(raw.as_py(), shingle) for raw in raws]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.int64())], names=[*along, "fp"])
 
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(compute, f"doc_id {kind}, fp bigint")
+    kinds = [f"{name} {texts.schema[name].dataType.simpleString()}" for name in along]
+    return texts.mapInArrow(compute, ", ".join([*kinds, "fp bigint"]))
 
 
 def balls(values: DataFrame, bits: int = BITS, keys: tuple[str, ...] = (), **more: Column) -> DataFrame:
@@ -133,6 +132,16 @@ def close_pairs(distinct: DataFrame) -> DataFrame:
     )
 
 
+def grouped(distinct: DataFrame) -> DataFrame:
+    """``distinct`` (a stored table with distinct fingerprints in column fp) and ``root``, the smallest
+    fingerprint that links reach."""
+    # Dealt before variants are made, so that tasks follow the variants and not the stored files.
+    tasks = max(1, math.ceil(distinct.count() * (BITS + 1) / VARIANTS_A_TASK))
+    roots = connected_components(close_pairs(distinct.select("fp").repartition(tasks, "fp")))
+    found = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return stored(found.withColumn("root", F.coalesce("root", "fp")), "roots")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """Columns doc_id, fingerprint (16 hex digits) and component_id of every row of ``docs``.
 
@@ -142,18 +151,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     fingerprints are merged before variants are made, so copies cost nothing there.
     """
     rows = stored(fingerprints(docs, shingle), "fingerprints")
-    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    # Dealt before variants are made, so that tasks follow the variants and not the stored files.
-    tasks = max(1, math.ceil(distinct.count() * (BITS + 1) / VARIANTS_A_TASK))
-    roots = connected_components(close_pairs(distinct.select("fp").repartition(tasks, "fp")))
-    grouped = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp")
-    )
-    grouped = stored(grouped, "roots")
-    smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    components = grouped.join(smallest, "root").select("fp", "component_id")
+    found = grouped(stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct"))
+    smallest = found.groupBy("root").agg(F.min("first").alias("component_id"))
+    components = found.join(smallest, "root").select("fp", "component_id")
     return rows.join(components, "fp").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
     )
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component of ``near_duplicates`` the one with the smallest id.
+
+    A row without an id only stays if no row of the component has one. Of rows that share that id
+    the smallest checksum of id and text decides, and of rows that share both one stays. Texts
+    without words, null ones included, are copies of each other. All columns of ``docs`` are kept
+    as they are.
+    """
+    key = row_key(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("row_key")
+    rows = stored(fingerprints(docs.select("doc_id", key, "text"), shingle, ("doc_id", "row_key")), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_key")).alias("first")
+    found = grouped(stored(rows.groupBy("fp").agg(first), "distinct"))
+    stays = found.groupBy("root").agg(F.min("first").alias("first")).select("first.row_key")
+    gone = stored(rows.select("row_key").distinct().join(stays, "row_key", "left_anti"), "gone")
+    return without_rows(docs, rows, gone)

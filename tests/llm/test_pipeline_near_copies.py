@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from ledgerloom.llm import simhash
+from ledgerloom.llm import components, near_dedup, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +70,20 @@ def test_stage_of_odd_rows(spark, docs_of, clashing, copies):
     assert kept.columns == wide.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["0", "5", "6", "None"]
     assert corpus_pipeline.without_near_copies(spark, wide.limit(0), SF).count() == 0
+
+
+def test_tables_of_the_stage_are_no_multiple_of_a_crowd(spark, docs_of, monkeypatch):
+    """Texts with one frame and words of their own: no table that the stage writes has rows for all who meet, or pairs."""
+    random, written = np.random.default_rng(4), []
+    fresh = lambda n: [f"w{x}" for x in random.integers(0, 10**6, n)]
+    frame = fresh(120)
+    rows = [(i, " ".join(frame + fresh(30))) for i in range(600)]
+    for module in (simhash, components, near_dedup):
+        def counting(df, name, write=module.stored):
+            table = write(df, name)
+            written.append((table.count(), name))
+            return table
+
+        monkeypatch.setattr(module, "stored", counting)
+    corpus_pipeline.without_near_copies(spark, docs_of(*rows), SF).count()
+    assert written and max(written)[0] <= 2 * 600, max(written)
